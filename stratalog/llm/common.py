@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,22 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package's source to the Python workers, once a session."""
+    context = spark.sparkContext
+    if getattr(context, "_stratalog_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    to = f"{tempfile.mkdtemp(prefix='stratalog-')}/stratalog_source.zip"
+    with zipfile.ZipFile(to, "w") as out:
+        for f in package.rglob("*.py"):
+            out.write(f, f.relative_to(package.parent))
+    context.addPyFile(to)
+    context._stratalog_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
