@@ -52,14 +52,11 @@ def train(labelled: DataFrame) -> list[float]:
     """Intercept and weights by bucket, from (url, label) with label 1.0 for block."""
     rows = labelled.select(grams(host_of(F.col("url")), path_of(F.col("url"))).alias("b"), F.col("label").cast("double").alias("y"))
     one = rows.groupBy().agg(F.sort_array(F.collect_list(F.struct("y", "b"))).alias("rows"))
-    # for each bucket, the rows that hold it
-    held = F.flatten(F.transform("rows", lambda r, e: F.transform(r["b"], lambda b: F.struct(b.alias("b"), e.alias("e")))))
-    turned = one.select("rows", F.explode(held).alias("x")).groupBy("rows", "x.b").agg(F.sort_array(F.collect_list("x.e")).alias("e"))
-    whole = turned.groupBy("rows").agg(F.map_from_entries(F.collect_list(F.struct("b", "e"))).alias("m"))
-    whole = whole.select(
-        F.transform("rows", lambda r: F.struct(r["y"].alias("y"), r["b"].alias("b"), (1 / F.sqrt(F.size(r["b"]))).alias("v"))).alias("rows"),
-        F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.array().cast("array<int>"))).alias("held"),
-    )
+    # for each bucket, the rows that hold it: as small as the labelled table
+    entries = one.select(F.explode(F.flatten(F.transform("rows", lambda r, e: F.transform(r["b"], lambda b: F.struct(b.alias("b"), e.alias("e")))))).alias("x"))
+    turned = dict(map(tuple, entries.groupBy("x.b").agg(F.sort_array(F.collect_list("x.e")).alias("e")).collect()))
+    held = F.from_json(F.lit(json.dumps([turned.get(b, []) for b in range(BUCKETS)])), "array<array<int>>")
+    whole = one.select(F.transform("rows", lambda r: F.struct(r["y"].alias("y"), r["b"].alias("b"), (1 / F.sqrt(F.size(r["b"]))).alias("v"))).alias("rows"), held.alias("held"))
     state = "named_struct('w0', 0D, 'w', array_repeat(0D, size(held)))"
     z = "s.w0 + r.v * aggregate(r.b, 0D, (a, b) -> a + s.w[b])"
     errors = f"transform(rows, r -> named_struct('e', 1 / (1 + exp(-({z}))) - r.y, 'v', r.v))"
