@@ -247,17 +247,18 @@ def search(vectors: DataFrame, queries: Column, k: int = K) -> DataFrame:
                     some = np.nonzero(s >= least - 1e-9 * size * np.sqrt((own * own).sum()))[0]
                     exact = (v[some] * own).sum(1).tolist()
                     best = sorted((-e, j) for e, p in zip(exact, some.tolist(), strict=True) for j in ids[p])[: k + 1]
-                    out.append((q_ids[at + i], [{"score": -e, "id": j} for e, j in best]))
-        kind = pa.list_(pa.struct([("score", pa.float64()), ("id", pa.int64())]))
+                    out.append((q_ids[at + i], [{"less": e, "id": j} for e, j in best]))
+        kind = pa.list_(pa.struct([("less", pa.float64()), ("id", pa.int64())]))
         return pa.table({"q_id": pa.array([o[0] for o in out], pa.int64()), "best": pa.array([o[1] for o in out], kind)})
 
-    met = left.groupBy("list", "block", "turn").cogroup(right.groupBy("q_list", "q_block", "q_turn")).applyInArrow(meet, "q_id long, best array<struct<score:double,id:long>>")
-    ranked = F.array_sort(F.array_distinct(F.flatten(F.collect_list("best"))), lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0))
-    best = met.groupBy("q_id").agg(F.slice(ranked, 1, k + 1).alias("best"))
+    # the largest scores first; a vector lies in REPLICAS lists at most, so a stretch of its copies is no longer
+    met = left.groupBy("list", "block", "turn").cogroup(right.groupBy("q_list", "q_block", "q_turn")).applyInArrow(meet, "q_id long, best array<struct<less:double,id:long>>")
+    ranked = F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, REPLICAS * (k + 1))
+    best = met.groupBy("q_id").agg(F.slice(F.array_distinct(ranked), 1, k + 1).alias("best"))
     answers = asked.select("vec_id", "v").distinct().join(distinct, "v").select(F.col("vec_id").alias("query_id"), "q_id").join(best, "q_id")
     others = F.slice(F.filter("best", lambda b: b["id"] != F.col("query_id")), 1, k)
     listed = answers.select("query_id", F.posexplode(others).alias("rank", "b"))
-    return listed.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.id").alias("vec_id"), F.col("b.score").alias("score"))
+    return listed.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.id").alias("vec_id"), (-F.col("b.less")).alias("score"))
 
 
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
