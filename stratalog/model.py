@@ -18,7 +18,6 @@ PUT_COST, DELETE_COST, FILE_COST = 32, 16, 8
 LEVELS = 7
 
 LOG = T.StructType([T.StructField("seq", T.LongType(), False), T.StructField("op", T.ByteType(), False), T.StructField("key", T.BinaryType(), False), T.StructField("value", T.BinaryType())])
-MANIFEST = T.StructType.fromDDL("level int, run_id bigint, path string, min_key binary, max_key binary, entries bigint, bytes bigint, created_at timestamp")
 
 
 @dataclass(frozen=True)

@@ -21,12 +21,16 @@ def positions(key: Column, bits: int, hashes: int) -> Column:
     return F.array(*(F.pmod(F.xxhash64(F.lit(i), key), F.lit(bits)) for i in range(hashes)))
 
 
+def bit_of(at: Column) -> Column:
+    """The place's bit in its word of 64."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
+
+
 def bloom(rows: DataFrame, key: str, entries: int, rate: float = 0.01) -> DataFrame:
     """(word, mask): the set bits, 64 to a row, summed up where the rows are."""
     bits, hashes = bloom_size(entries, rate)
     at = rows.select(F.explode(positions(F.col(key), bits, hashes)).alias("at"))
-    mask = F.shiftleft(F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))
-    return at.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(mask).alias("mask"))
+    return at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(bit_of(F.col("at"))).alias("mask"))
 
 
 def might_hold(rows: DataFrame, key: str, made: DataFrame, entries: int, rate: float = 0.01) -> DataFrame:
@@ -34,7 +38,7 @@ def might_hold(rows: DataFrame, key: str, made: DataFrame, entries: int, rate: f
     bits, hashes = bloom_size(entries, rate)
     keys = rows.select(key).distinct()
     at = keys.select(key, F.explode(positions(F.col(key), bits, hashes)).alias("at"))
-    at = at.withColumn("word", F.floor(F.col("at") / 64)).withColumn("bit", F.shiftleft(F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int")))
+    at = at.withColumn("word", F.shiftright("at", 6)).withColumn("bit", bit_of(F.col("at")))
     hit = at.join(made, "word", "left").groupBy(key).agg(F.min((F.coalesce("mask", F.lit(0)).bitwiseAND(F.col("bit")) != 0).cast("int")).alias("all"))
     return rows.join(hit.where(F.col("all") == 1), key, "left_semi")
 

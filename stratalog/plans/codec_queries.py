@@ -43,6 +43,6 @@ def values_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", codecs.rendered(F.floor("value").cast("long")).alias("shown"))
 
 
-@query("SELECT n_name, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(n_name, ''), c -> ascii(c)::BIGINT)), (h, b) -> (h * 31 + b) % 4294967296) AS h FROM nation")
+@query("SELECT n_name, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(n_name, ''), lambda c: ascii(c)::BIGINT)), lambda h, b: (h * 31 + b) % 4294967296) AS h FROM nation")
 def key_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_name", codecs.polynomial_hash(codecs.utf8(F.col("n_name"))).alias("h"))

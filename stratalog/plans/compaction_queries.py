@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions.codecs import text
-from ..operators import compaction, runs
+from ..operators import compaction, log, runs
 from .inputs import LOG, MANIFEST, NEWEST, RUNS, event_runs, events, manifest, table
 
 K = text(F.col("key")).alias("k")
@@ -29,11 +29,12 @@ def overlapping_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compaction.overlapping(manifest(spark, sf_dir), F.lit(b"3"), F.lit(b"5")).select("level", "run_id")
 
 
-@query(f"WITH {LOG}, {NEWEST} SELECT k, seq, op::INT AS op, value FROM newest")
+@query(f"WITH {LOG}, {NEWEST} SELECT k, seq, value FROM newest WHERE op = 1")
 def compacted_equals_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level 0 merged into the next leaves every key's live value."""
     rows = event_runs(spark, sf_dir)
     one = compaction.compact(rows, runs.zone_map(rows), 0, 1_000_000)
-    return compaction.merge(one.drop("level", "run_id")).select(K, "seq", "op", "value")
+    return log.live(one.drop("level", "run_id")).select(K, "seq", "value")
 
 
 @query(f"WITH {LOG}, {NEWEST} SELECT k, seq, value FROM newest WHERE op = 1")

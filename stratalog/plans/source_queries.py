@@ -2,31 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..catalog import query
 from ..functions.codecs import text, utf8
 from ..model import shared_folder
 from ..operators import log, runs, snapshots
+from ..shipping import ship
 from ..sources import log_file, sorted_file
 from ..store import Store
 from .inputs import LOG, NEWEST, RUNS, event_runs, events
 
 
-def _live_files(spark: SparkSession, made: DataFrame, parse, schema: str) -> DataFrame:
+def _live_files(spark: SparkSession, made: DataFrame, parse: Callable[[bytes], Iterable[tuple]], schema: str) -> DataFrame:
     """Rows parsed from built files, without a listing between them."""
-    import pyarrow as pa
+    ship(spark)
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if rows := [(at, *r) for r in parse(raw)]:
                     yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=kinds)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
     kinds = to_arrow_schema(StructType.fromDDL(schema))
     names = kinds.names
     return made.mapInArrow(run, schema)

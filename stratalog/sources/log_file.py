@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codecs import log_record
+from ..shipping import ship
 from .sorted_file import files
 
 MARK = struct.pack(">i", 0x4B564442)
@@ -59,6 +60,7 @@ def read(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
                 if rows := [(name, *r) for r in parse(raw)]:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "position", "op", "key", "value"])
 
+    ship(spark)
     return files(spark, path, pattern).select("path", "content").mapInArrow(run, "path string, position long, op tinyint, key binary, value binary")
 
 

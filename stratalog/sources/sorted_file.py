@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 
 def dump(entries: list[tuple[bytes, bytes]]) -> bytes:
     """A sorted file's bytes; entries come in key order."""
@@ -67,6 +69,7 @@ def read(spark: SparkSession, path: str, pattern: str = "*.sst") -> DataFrame:
                     kinds = (pa.string(), pa.binary(), pa.binary(), pa.bool_())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "key", "value", "intact"])
 
+    ship(spark)
     return files(spark, path, pattern).select("path", "content").mapInArrow(run, "path string, key binary, value binary, intact boolean")
 
 
@@ -77,6 +80,7 @@ def contents(rows: DataFrame, by: str) -> DataFrame:
         entries = sorted(zip(group.column("key").to_pylist(), (v or b"" for v in group.column("value").to_pylist()), strict=True))
         return pa.table({by: group.column(by)[:1], "content": pa.array([dump(entries)], pa.binary())})
 
+    ship(rows.sparkSession)
     return rows.select(by, "key", "value").groupBy(by).applyInArrow(build, f"{by} {rows.schema[by].dataType.simpleString()}, content binary")
 
 
