@@ -6,12 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..functions.codecs import text
 from ..operators import compaction, log, runs
-from .inputs import LOG, MANIFEST, NEWEST, RUNS, event_runs, events, manifest, table
-
-K = text(F.col("key")).alias("k")
-
+from .inputs import LOG, MANIFEST, NEWEST, RUNS, event_runs, events, key_text, manifest, table
 
 @query(f"WITH {LOG}, {RUNS}, {MANIFEST}, c AS (SELECT level, count(*) AS files FROM manifest GROUP BY level) SELECT level, files, CASE WHEN level = 0 THEN 4 ELSE pow(10, level)::INT END AS threshold, files >= CASE WHEN level = 0 THEN 4 ELSE pow(10, level)::INT END AS due FROM c")
 def compaction_due(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,13 +30,13 @@ def compacted_equals_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Level 0 merged into the next leaves every key's live value."""
     rows = event_runs(spark, sf_dir)
     one = compaction.compact(rows, runs.zone_map(rows), 0, 1_000_000)
-    return log.live(one.drop("level", "run_id")).select(K, "seq", "value")
+    return log.live(one.drop("level", "run_id")).select(key_text(), "seq", "value")
 
 
 @query(f"WITH {LOG}, {NEWEST} SELECT k, seq, value FROM newest WHERE op = 1")
 def compaction_purged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged into the lowest level, tombstones go."""
-    return compaction.merge(event_runs(spark, sf_dir).drop("level", "run_id"), bottom=True).select(K, "seq", "value")
+    return compaction.merge(event_runs(spark, sf_dir).drop("level", "run_id"), bottom=True).select(key_text(), "seq", "value")
 
 
 @query(f"WITH {LOG}, {RUNS} SELECT level, run_id, sum(length(k) + length(props) + 8)::BIGINT AS bytes FROM runs GROUP BY level, run_id")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.codecs import utf8
+from ..functions.codecs import text, utf8
 from ..operators import runs
 
 #: The events log in SQL: k is the key as text.
@@ -28,6 +28,10 @@ def events(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return rows.select(F.col("event_id").alias("seq"), op.alias("op"), utf8(F.col("user_id").cast("string")).alias("key"), *(columns or ("value",)))
 
 
+def key_text() -> Column:
+    return text(F.col("key")).alias("k")
+
+
 def event_runs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     log = events(spark, sf_dir, *columns)
     run = F.floor(F.col("seq") / 1000).cast("long")

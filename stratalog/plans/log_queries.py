@@ -6,21 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..functions.codecs import text, utf8
+from ..functions.codecs import utf8
 from ..operators import log, membership, recovery
-from .inputs import LOG, NEWEST, events, table
-
-K = text(F.col("key")).alias("k")
-
+from .inputs import LOG, NEWEST, events, key_text, table
 
 @query(f"WITH {LOG}, {NEWEST} SELECT k, seq, value FROM newest WHERE op = 1")
 def latest_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log.live(events(spark, sf_dir)).select(K, "seq", "value")
+    return log.live(events(spark, sf_dir)).select(key_text(), "seq", "value")
 
 
 @query(f"WITH {LOG}, {NEWEST} SELECT k, seq, props FROM newest WHERE op = 1")
 def latest_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log.live(events(spark, sf_dir, "props")).select(K, "seq", "props")
+    return log.live(events(spark, sf_dir, "props")).select(key_text(), "seq", "props")
 
 
 @query("SELECT o_custkey AS k, o_orderkey AS seq, o_totalprice AS value FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders) WHERE n = 1")
@@ -31,18 +28,18 @@ def latest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LOG}, {NEWEST} SELECT k, seq, value FROM newest WHERE op = 1 AND k = '42'")
 def point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log.get(events(spark, sf_dir), b"42").select(K, "seq", "value")
+    return log.get(events(spark, sf_dir), b"42").select(key_text(), "seq", "value")
 
 
 @query(f"WITH {LOG}, {NEWEST} SELECT c_custkey::VARCHAR AS k, seq, value FROM customer LEFT JOIN (SELECT * FROM newest WHERE op = 1) ON k = c_custkey::VARCHAR WHERE c_custkey <= 200")
 def multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = table(spark, sf_dir, "customer").where("c_custkey <= 200").select(utf8(F.col("c_custkey").cast("string")).alias("key"))
-    return log.multi_get(events(spark, sf_dir), keys).select(K, "seq", "value")
+    return log.multi_get(events(spark, sf_dir), keys).select(key_text(), "seq", "value")
 
 
 @query(f"WITH {LOG}, {NEWEST} SELECT k, seq FROM newest WHERE op = 2")
 def tombstone_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log.latest(events(spark, sf_dir)).where("op = 2").select(K, "seq")
+    return log.latest(events(spark, sf_dir)).where("op = 2").select(key_text(), "seq")
 
 
 @query(
@@ -53,18 +50,18 @@ def tombstone_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def put_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1_000_000_000).alias("seq"), utf8(F.col("c_custkey").cast("string")).alias("key"), F.col("c_acctbal").alias("value"))
-    return log.live(log.put(events(spark, sf_dir), rows)).select(K, "seq", "value")
+    return log.live(log.put(events(spark, sf_dir), rows)).select(key_text(), "seq", "value")
 
 
 @query(f"WITH {LOG}, {NEWEST} SELECT k, seq, value FROM newest WHERE op = 1 AND k NOT IN (SELECT s_suppkey::VARCHAR FROM supplier)")
 def delete_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 1_000_000_000).alias("seq"), utf8(F.col("s_suppkey").cast("string")).alias("key"))
-    return log.live(log.delete(events(spark, sf_dir), keys)).select(K, "seq", "value")
+    return log.live(log.delete(events(spark, sf_dir), keys)).select(key_text(), "seq", "value")
 
 
 @query(f"WITH {LOG}, {NEWEST} SELECT k, CASE WHEN op = 2 THEN length(k) + 16 ELSE length(k) + length(props) + 32 END::BIGINT AS bytes FROM newest")
 def size_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log.latest(events(spark, sf_dir, "props")).select(K, log.entry_bytes(utf8(F.col("props"))).alias("bytes"))
+    return log.latest(events(spark, sf_dir, "props")).select(key_text(), log.entry_bytes(utf8(F.col("props"))).alias("bytes"))
 
 
 @query(
@@ -84,18 +81,18 @@ SELECT k, seq, op::INT AS op, value FROM best WHERE n = 1"""
 def active_over_immutable(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir)
     half = F.floor(F.lit(rows.agg(F.max("seq")).first()[0]) / 2)
-    return log.layered(rows.where(F.col("seq") >= half), rows.where(F.col("seq") < half)).select(K, "seq", "op", "value")
+    return log.layered(rows.where(F.col("seq") >= half), rows.where(F.col("seq") < half)).select(key_text(), "seq", "op", "value")
 
 
 @query(f"WITH {LOG}, {NEWEST} SELECT k, seq, value FROM newest WHERE op = 1 AND k >= '12' AND k < '15'")
 def range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return log.scan(events(spark, sf_dir), F.lit(b"12"), F.lit(b"15")).select(K, "seq", "value")
+    return log.scan(events(spark, sf_dir), F.lit(b"12"), F.lit(b"15")).select(key_text(), "seq", "value")
 
 
 @query(f"WITH {LOG} SELECT k, seq, value FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS n FROM log WHERE value <= 480 AND seq < coalesce((SELECT min(seq) FROM log WHERE value > 480), 9223372036854775807)) WHERE n = 1 AND op = 1")
 def replay_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir)
-    return log.live(recovery.valid_prefix(rows, F.col("value") <= 480)).select(K, "seq", "value")
+    return log.live(recovery.valid_prefix(rows, F.col("value") <= 480)).select(key_text(), "seq", "value")
 
 
 @query(
@@ -109,18 +106,18 @@ def replay_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LOG} SELECT seq, op::INT AS op, k FROM log WHERE seq > 900")
 def apply_after_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recovery.after(events(spark, sf_dir), 900).select("seq", "op", K)
+    return recovery.after(events(spark, sf_dir), 900).select("seq", "op", key_text())
 
 
 @query(f"WITH {LOG}, {NEWEST} SELECT k, seq, value FROM newest WHERE op = 1")
 def idempotent_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir)
-    return log.live(recovery.replayed(rows, rows)).select(K, "seq", "value")
+    return log.live(recovery.replayed(rows, rows)).select(key_text(), "seq", "value")
 
 
 @query(f"WITH {LOG} SELECT seq // 1000 AS segment, k, max(seq) AS seq, arg_max(op, seq)::INT AS op FROM log GROUP BY seq // 1000, k")
 def segment_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recovery.segment_compacted(events(spark, sf_dir), F.floor(F.col("seq") / 1000).cast("long")).select("segment", K, "seq", "op")
+    return recovery.segment_compacted(events(spark, sf_dir), F.floor(F.col("seq") / 1000).cast("long")).select("segment", key_text(), "seq", "op")
 
 
 @query(f"WITH {LOG} SELECT count(*) AS left_rows, min(seq) AS first_seq FROM log WHERE seq > 700")

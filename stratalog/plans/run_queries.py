@@ -10,12 +10,9 @@ from ..functions.codecs import text, utf8
 from ..operators import runs, snapshots
 from .inputs import LOG, MANIFEST, RUNS, event_runs, manifest, table
 
-ZONE = [text(F.col("min_key")).alias("min_key"), text(F.col("max_key")).alias("max_key")]
-
-
 @query(f"WITH {LOG}, {RUNS}, {MANIFEST} SELECT level, run_id, min_key, max_key, entries FROM manifest")
 def zone_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifest(spark, sf_dir).select("level", "run_id", *ZONE, "entries")
+    return manifest(spark, sf_dir).select("level", "run_id", text(F.col("min_key")).alias("min_key"), text(F.col("max_key")).alias("max_key"), "entries")
 
 
 @query("SELECT l_orderkey // 500 AS run_id, min(l_orderkey) AS min_key, max(l_orderkey) AS max_key, count(*) AS entries FROM lineitem GROUP BY l_orderkey // 500")

@@ -6,14 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..functions.codecs import text
 from ..model import shared_folder
 from ..operators import log
 from ..streaming import apply
-from .inputs import LOG, NEWEST, events
-
-K = text(F.col("key")).alias("k")
-
+from .inputs import LOG, NEWEST, events, key_text
 
 def _stream(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The events log in four files, as a stream."""
@@ -27,7 +23,7 @@ def stream_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each micro-batch writes a sorted run; the runs together are the log."""
     out = shared_folder(spark)
     apply.write_runs(_stream(spark, sf_dir), out, shared_folder(spark)).awaitTermination()
-    return log.live(spark.read.parquet(out).drop("run_id")).select(K, "seq", "value")
+    return log.live(spark.read.parquet(out).drop("run_id")).select(key_text(), "seq", "value")
 
 
 @query(f"WITH {LOG}, {NEWEST} SELECT k, seq, value FROM newest WHERE op = 1")
@@ -37,7 +33,7 @@ def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = apply.running_latest(_stream(spark, sf_dir))
     writer = view.writeStream.outputMode("complete").foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(out))
     writer.option("checkpointLocation", shared_folder(spark)).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).where("op = 1").select(K, "seq", "value")
+    return spark.read.parquet(out).where("op = 1").select(key_text(), "seq", "value")
 
 
 @query(f"WITH {LOG} SELECT seq, op::INT AS op, k FROM log")
@@ -47,4 +43,4 @@ def stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _stream(spark, sf_dir, "ts").withColumn("ts", F.col("ts").cast("timestamp"))
     twice = apply.once(rows.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))), "ts", "30 days")
     twice.select("seq", "op", "key").writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_folder(spark)).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).select("seq", "op", K)
+    return spark.read.parquet(out).select("seq", "op", key_text())
