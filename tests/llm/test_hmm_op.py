@@ -1,0 +1,113 @@
+"""Language-model scores against plain Python."""
+
+from __future__ import annotations
+
+import itertools
+import math
+from collections import Counter
+
+import numpy as np
+import pytest
+from cases import DOCS, ROWS, WORD, lowered, remainder
+
+from stratalog.llm import hmm
+
+
+def base(rows: list[tuple]) -> dict:
+    words = [WORD.findall(lowered(r[1])) for r in rows]
+    train = [w for r, w in zip(rows, words, strict=True) if remainder(r[0], 10)]
+    counts = Counter(x for w in train for x in w)
+    counts["\0end"] = len(train)
+    n, v = sum(counts.values()), sum(c > 0 for c in counts.values())
+    out = []
+    for r, w in zip(rows, words, strict=True):
+        tokens = [*w, "\0end"]
+        score = sum(math.log10((counts[t] + 0.1) / (n + 0.1 * (v + 1))) for t in tokens)
+        out.append((r[0], remainder(r[0], 10) == 0, len(tokens), sum(counts[t] > 0 for t in tokens), n, round(score, 4)))
+    return sorted(out, key=str)
+
+
+def answers(df) -> list[tuple]:
+    return sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in df.collect()), key=str)
+
+
+def test_edges(spark, edges):
+    found = hmm.op8_hmm(spark, edges)
+    assert answers(found) == base(ROWS)
+    assert all(r["score"] < 0 for r in found.collect())
+
+
+def test_small_parts(spark, folder, monkeypatch):
+    """Parts of a few tokens, so that a task has many dictionaries."""
+    monkeypatch.setattr(hmm, "PART", 30)
+    rows = [(i, " ".join(f"w{(i * j) % 37}" for j in range(i % 23)), None, None, None) for i in range(120)]
+    assert answers(hmm.op8_hmm(spark, folder(documents=(rows, DOCS)))) == base(rows)
+
+
+def test_empty_and_no_training_row(spark, empty, folder):
+    assert hmm.op8_hmm(spark, empty).count() == 0
+    held = next(i for i in range(100) if remainder(i, 10) == 0)
+    row = hmm.op8_hmm(spark, folder(documents=([(held, "a b", None, None, None)], DOCS))).first()
+    assert (row["n_tokens"], row["n_known"], row["train_tokens"], row["base_score"], row["score"]) == (3, 0, 0, 0.0, 0.0)
+
+
+def random_model(seed: int) -> dict:
+    random = np.random.default_rng(seed)
+    a, b, pi = random.random((hmm.STATES, hmm.STATES)), random.random((hmm.CLASSES, hmm.STATES)), random.random(hmm.STATES)
+    return {"a": a / a.sum(1, keepdims=True), "b": b / b.sum(0), "pi": pi / pi.sum()}
+
+
+def packed(x) -> bytes:
+    return np.array(x, "<u2").tobytes()
+
+
+def test_forward_is_the_sum_over_all_paths():
+    model, seq = random_model(1), [5, 4000, 7, 5]
+    total = 0.0
+    for path in itertools.product(range(hmm.STATES), repeat=len(seq)):
+        p = model["pi"][path[0]]
+        for t, s in enumerate(path):
+            p *= model["b"][seq[t], s] * (model["a"][path[t - 1], s] if t else 1)
+        total += p
+    assert hmm.forward([packed(seq), packed(seq[:1])], model)[0] == pytest.approx(math.log10(total), abs=1e-9)
+
+
+def test_long_texts_have_the_same_likelihood():
+    model, random = random_model(2), np.random.default_rng(3)
+    for n in (1, 255, 256, 257, 5000):
+        x = random.integers(0, hmm.CLASSES, n)
+        short = hmm.forward([packed(x)], model)[0] if n <= hmm.LONG else None
+        whole = hmm.long_forward(np.array(x, "<u2"), model["a"], model["b"], model["pi"])
+        step = 0.0
+        state = model["pi"] * model["b"][x[0]]
+        for c in x[1:]:
+            step += math.log10(state.sum())
+            state = (state / state.sum()) @ model["a"] * model["b"][c]
+        step += math.log10(state.sum())
+        assert whole == pytest.approx(step, rel=1e-9)
+        assert short is None or short == pytest.approx(step, rel=1e-9)
+
+
+def test_expected_counts_are_those_of_the_posterior():
+    model, seq = random_model(4), [3, 9, 3]
+    paths = {}
+    for path in itertools.product(range(hmm.STATES), repeat=3):
+        p = model["pi"][path[0]]
+        for t, s in enumerate(path):
+            p *= model["b"][seq[t], s] * (model["a"][path[t - 1], s] if t else 1)
+        paths[path] = p
+    z = sum(paths.values())
+    got = hmm.expected([(np.array(seq, "<u2"), True)], model)
+    for s in range(hmm.STATES):
+        assert got[9, s] == pytest.approx(sum(p for q, p in paths.items() if q[1] == s) / z, rel=1e-3)
+        assert got[-1, s] == pytest.approx(sum(p for q, p in paths.items() if q[0] == s) / z, rel=1e-3)
+    moves = sum(p for q, p in paths.items() for t in (1, 2) if q[t - 1] == 0 and q[t] == 1) / z
+    assert got[hmm.CLASSES, 1] == pytest.approx(moves, rel=1e-3)
+
+
+def test_probabilities_sum_to_one_over_known_and_unknown_words(spark, folder):
+    """Of one-word texts with every known word: with their classes' shares, less than 1 in all, and learning beats chance."""
+    rows = [(i, " ".join(["aa bb"] * 5) if i % 2 else "cc dd cc dd", None, None, None) for i in range(60)]
+    scored = {r["doc_id"]: r for r in hmm.op8_hmm(spark, folder(documents=(rows, DOCS))).collect()}
+    held = [r for r in scored.values() if r["held_out"]]
+    assert held and all(r["score"] > r["base_score"] for r in held)

@@ -1,0 +1,85 @@
+"""Mixing against its SQL, the contract's sums, and the documents taken."""
+
+from __future__ import annotations
+
+import random
+import re
+from collections import Counter, defaultdict
+
+from cases import DOCS, ROWS, WORD, collected
+
+from stratalog.llm import mixing
+
+COLUMNS = ("doc_id", "size", "source_size", "target", "taken")
+
+
+def targets(sizes: dict[str | None, int]) -> dict[str | None, float]:
+    """By resharing the excess until no target is above its limit."""
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode("utf-32-be")))
+    weight = {s: i % 3 + 1 for i, s in enumerate(order)}
+    out: dict[str | None, float] = {}
+    while True:
+        free = [s for s in order if s not in out]
+        left = sum(sizes.values()) - sum(out.values())
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > 3 * sizes[s]]
+        if not over:
+            return out | share
+        out |= {s: 3.0 * sizes[s] for s in over}
+
+
+def some_rows() -> list[tuple]:
+    rng = random.Random(2)
+    sources = ["web", "web", "web", "web", "books", "code", None, "é", "𐀀", "￮"]
+    return [(i % 280, " ".join(["w"] * rng.choice((0, 1, 5, 40, 400))), "en", rng.choice(sources), 1) for i in range(300)]
+
+
+def test_edges(spark, edges, oracle):
+    assert collected(mixing.op10_mixing(spark, edges), *COLUMNS) == oracle(mixing.ORACLE, edges, COLUMNS, "documents")
+
+
+def test_sources(spark, folder, oracle):
+    rows = some_rows()
+    sf_dir = folder(documents=(rows, DOCS))
+    found = mixing.op10_mixing(spark, sf_dir)
+    assert collected(found, *COLUMNS) == oracle(mixing.ORACLE, sf_dir, COLUMNS, "documents")
+    assert collected(found, *COLUMNS) == collected(mixing.op10_mixing(spark, sf_dir), *COLUMNS)
+    sizes: Counter = Counter()
+    for r in rows:
+        sizes[r[3]] += len(WORD.findall(r[1]))
+    expected = targets(sizes)
+    mixed = mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()
+    taken = defaultdict(int)
+    for r in mixed:
+        assert abs(r["target"] - expected[r["source"]]) < 1e-6 * max(1, r["target"])
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+    for s, t in expected.items():
+        assert t - 1 <= taken[s] <= t
+
+
+def test_many_buckets(spark, folder, oracle, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET", 4)
+    sf_dir = folder(documents=(some_rows(), DOCS))
+    assert collected(mixing.op10_mixing(spark, sf_dir), *COLUMNS) == oracle(mixing.ORACLE, sf_dir, COLUMNS, "documents")
+
+
+def test_empty(spark, empty):
+    assert mixing.op10_mixing(spark, empty).count() == 0
+
+
+def test_documents_taken(spark):
+    docs = spark.createDataFrame(some_rows(), DOCS).selectExpr("*", "1 AS size", "2 AS taken")
+    out = mixing.taken_documents(docs)
+    assert out.columns == docs.columns
+    words: Counter = Counter()
+    for r in out.collect():
+        words[r["source"]] += len(WORD.findall(r["text"]))
+        assert r["size"] == 1 and r["taken"] == 2
+    mixed = mixing.mix(docs.drop("size", "taken")).groupBy("source").sum("taken").collect()
+    assert dict(words) == {s: n for s, n in mixed if n}
+    assert mixing.taken_documents(spark.createDataFrame(ROWS, DOCS)).where("text is null").isEmpty()
+
+
+def test_no_python_on_the_executors(spark, edges):
+    assert not re.search("Python|Pandas|Arrow", mixing.op10_mixing(spark, edges)._jdf.queryExecution().toString())
