@@ -35,7 +35,7 @@ def big_endian(number: Column, width: int) -> Column:
 def signed(raw: Column) -> Column:
     """Four or eight big-endian bytes as a long."""
     wide = F.conv(F.hex(raw), 16, -10).cast("long")
-    return F.when(F.octet_length(raw) == 4, wide.cast("int").cast("long")).otherwise(wide)
+    return F.when((F.octet_length(raw) == 4) & (wide >= 1 << 31), wide - (1 << 32)).otherwise(wide)
 
 
 def framed(raw: Column) -> Column:
