@@ -28,7 +28,7 @@ from .common import stored, table
 LENGTH = 1024
 VOCABULARY = "byte_bpe_50k"
 #: Bytes of text tokenised together.
-BLOCK = 24_000_000
+BLOCK = 4_000_000
 _tokenizers: dict[str, Tokens] = {}
 
 
