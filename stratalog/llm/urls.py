@@ -55,6 +55,8 @@ def train(labelled: DataFrame) -> list[float]:
     # for each bucket, the rows that hold it: as small as the labelled table
     entries = one.select(F.explode(F.flatten(F.transform("rows", lambda r, e: F.transform(r["b"], lambda b: F.struct(b.alias("b"), e.alias("e")))))).alias("x"))
     turned = dict(map(tuple, entries.groupBy("x.b").agg(F.sort_array(F.collect_list("x.e")).alias("e")).collect()))
+    if not turned:  # no labelled row: no weight
+        return [0.0] * (BUCKETS + 1)
     held = F.from_json(F.lit(json.dumps([turned.get(b, []) for b in range(BUCKETS)])), "array<array<int>>")
     whole = one.select(F.transform("rows", lambda r: F.struct(r["y"].alias("y"), r["b"].alias("b"), (1 / F.sqrt(F.size(r["b"]))).alias("v"))).alias("rows"), held.alias("held"))
     state = "named_struct('w0', 0D, 'w', array_repeat(0D, size(held)))"
