@@ -5,9 +5,10 @@ component, where the nearest by distance are the largest by inner product. Centr
 come from balanced k-means on a bounded sample; every vector is indexed: in the list of
 its nearest centroid and, near a boundary, in further ones (up to REPLICAS, none closer
 to a chosen centroid than to the vector). Centroids are searched by best-first
-search on a neighbour graph held in memory. A query reads the lists whose centroids are
-within a ratio of its nearest one's distance; the ratio is the smallest that reaches
-RECALL on the sample. Lists and their queries are cut into blocks of bounded size,
+search on a neighbour graph held in memory. A query reads those of the lists found whose
+centroids are within a ratio of its nearest one's distance. The ratio is the smallest that
+reaches RECALL on the sample by this same search; where none does, the search is widened,
+to all lists if need be. Lists and their queries are cut into blocks of bounded size,
 which meet by a join on list and block, whatever a list's length.
 
 Equal vectors are indexed once, with their smallest ids. Scores are recomputed in double
@@ -54,11 +55,6 @@ def valid(vectors: DataFrame) -> tuple[DataFrame, int]:
     return sized.where((F.size("v") == n) & fine), n
 
 
-def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Of unit rows."""
-    return np.sqrt(np.maximum(2 - 2 * (x @ c.T), 0))
-
-
 def lift(v: np.ndarray, largest: float) -> np.ndarray:
     x = v.astype(np.float64) / largest
     return np.concatenate([x, np.sqrt(np.maximum(1 - (x * x).sum(1, keepdims=True), 0))], 1).astype(np.float32)
@@ -102,6 +98,10 @@ def walk(x: np.ndarray, c: np.ndarray, g: np.ndarray, beam: int = BEAM) -> tuple
     """(centroids, distances), nearest first, by best-first search on the graph, for all rows at once."""
     n, k = len(x), len(c)
     beam = min(beam, k)
+    if beam == k:  # all centroids: ranked outright
+        near = x @ c.T
+        ids = np.argsort(-near, axis=1, kind="stable")
+        return ids, np.sqrt(np.maximum(2 - 2 * np.take_along_axis(near, ids, 1), 0))
     rows = np.arange(n)[:, None]
     entry = np.unique(np.linspace(0, k - 1, min(k, max(beam, 16))).astype(np.int64))
     ids = np.broadcast_to(entry, (n, len(entry))).copy()
@@ -146,21 +146,28 @@ def homes(ids: np.ndarray, d: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np
     return row, ids[np.arange(n)[row], col]
 
 
-def calibrated(x: np.ndarray, q: np.ndarray, c: np.ndarray) -> float:
-    """The smallest ratio with which the queries' K nearest in the sample are found RECALL of the time."""
-    d = distances(x, c)
-    order = np.argsort(d, axis=1)[:, : 2 * REPLICAS]
-    row, of = homes(order, np.take_along_axis(d, order, 1), c)
+def calibrated(x: np.ndarray, some: np.ndarray, q: np.ndarray, c: np.ndarray, g: np.ndarray) -> tuple[float, int]:
+    """The smallest ratio, at the narrowest beam, with which the search finds the K nearest in the sample RECALL of the time.
+
+    q: the rows `some` of the sample as queries; none counts as its own neighbour.
+    """
     member = np.zeros((len(x), len(c)), bool)
-    member[row, of] = True
-    to = distances(q, c)
-    best = np.argsort(-(q @ x.T), axis=1)[:, :K]
-    for ratio in RATIOS:
-        lists = to <= ratio * to.min(1, keepdims=True)
-        found = np.mean([(member[b] & a).any(1).mean() for a, b in zip(lists, best, strict=True)])
-        if found >= RECALL:
-            return ratio
-    return float("inf")
+    for at in range(0, len(x), 2048):
+        row, of = homes(*walk(x[at : at + 2048], c, g), c)
+        member[row + at, of] = True
+    score = q @ x.T
+    score[np.arange(len(q)), some] = -np.inf
+    best = np.argsort(-score, axis=1)[:, : min(K, len(x) - 1)]
+    for beam in (BEAM, 2 * BEAM, 4 * BEAM, len(c)):
+        beam = min(beam, len(c))
+        ids, d = walk(q, c, g, beam)
+        away = np.full((len(q), len(c)), np.inf)
+        np.put_along_axis(away, ids, d / np.maximum(d[:, :1], 1e-30), 1)
+        needed = np.stack([np.where(member[b], a, np.inf).min(1) for a, b in zip(away, best, strict=True)])
+        for ratio in RATIOS:
+            if not needed.size or (needed <= ratio).mean() >= RECALL:
+                return ratio, beam
+    return float("inf"), len(c)
 
 
 def matrix(column: pa.Array, n: int) -> np.ndarray:
@@ -189,10 +196,10 @@ def search(vectors: DataFrame, queries: Column, k: int = K) -> DataFrame:
     c = balanced(x, lists)
     g = graph(c)
     some = np.linspace(0, len(x) - 1, min(len(x), 400)).astype(int)
-    model = spark.sparkContext.broadcast((c, g, largest, calibrated(x, unit(raw[some]), c)))  # LISTS centroids at most
+    model = spark.sparkContext.broadcast((c, g, largest, *calibrated(x, some, unit(raw[some]), c, g)))  # LISTS centroids at most
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, g, largest, _ = model.value
+        c, g, largest, _, _ = model.value
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
@@ -208,11 +215,14 @@ def search(vectors: DataFrame, queries: Column, k: int = K) -> DataFrame:
     own_ = spark.sparkContext.broadcast(own)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, g, _, ratio = model.value
+        c, g, _, ratio, beam = model.value
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                ids, d = walk(unit(matrix(part.column("v"), dim)), c, g, len(c) if ratio > 1.5 else max(BEAM, len(c) // 4))
+                q = unit(matrix(part.column("v"), dim))
+                ids, d = walk(q, c, g, beam)
+                if (own_.value[ids].sum(1) < k + 1).any():
+                    ids, d = walk(q, c, g, len(c))
                 near = d <= ratio * d[:, :1]
                 near |= np.cumsum(own_.value[ids], 1) - own_.value[ids] < k + 1  # never too few candidates
                 row, col = np.nonzero(near)

@@ -71,6 +71,20 @@ def test_recall_on_clusters_with_different_norms(spark, folder):
     assert len(hits) == 200 and np.mean(hits) >= 0.9
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.5])
+def test_recall_with_more_lists_than_the_beam(spark, folder, spread):
+    """20,000 vectors make 156 lists; the recall aimed at is that of the search as it is run."""
+    rng = np.random.default_rng(7)
+    x = (rng.normal(size=(20_000, 64)) * rng.lognormal(0, spread, (20_000, 1))).astype(np.float32)
+    assert len(x) // neighbours.LIST > 3 * neighbours.BEAM
+    got = answers(neighbours.op3_neighbours(spark, folder(embeddings=([(i, v.tolist(), 0) for i, v in enumerate(x)], VECTORS))))
+    asked = np.arange(0, len(x), 20)
+    score = x[asked].astype(np.float64) @ x.T.astype(np.float64)
+    score[np.arange(len(asked)), asked] = -np.inf
+    best = np.argpartition(-score, 20, axis=1)[:, :20].tolist()
+    assert np.mean([len({i for _, i in got[q]} & set(b)) / 20 for q, b in zip(asked.tolist(), best, strict=True)]) >= neighbours.RECALL - 0.01
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the driver's tables aren't here")
 def test_recall_on_the_driver_s_vectors(spark):
     sf_dir = "/root/testdata/sf0.1"
