@@ -20,6 +20,15 @@ def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compaction.overlap_pairs(zones.where("run_id <= 15"), zones.where("run_id > 15"))
 
 
+@query("WITH z AS (SELECT l_suppkey AS r, min(l_orderkey) AS a, max(l_orderkey) AS b FROM lineitem GROUP BY l_suppkey) SELECT x.r AS run_id, count(y.r) AS overlaps FROM z x LEFT JOIN z y ON x.b >= y.a AND x.a <= y.b AND x.r <> y.r GROUP BY x.r")
+def overlap_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each run of the whole table, how many others it overlaps."""
+    zones = runs.zone_map(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("run_id"), "l_orderkey"), ("run_id",), "l_orderkey")
+    pairs = compaction.overlap_pairs(zones, zones).where("left_run <> right_run")
+    counts = pairs.groupBy(F.col("left_run").alias("run_id")).agg(F.count("*").alias("overlaps"))
+    return zones.select("run_id").join(counts, "run_id", "left").select("run_id", F.coalesce("overlaps", F.lit(0).cast("long")).alias("overlaps"))
+
+
 @query(f"WITH {LOG}, {RUNS}, {MANIFEST} SELECT level, run_id FROM manifest WHERE max_key >= '3' AND min_key <= '5'")
 def overlapping_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compaction.overlapping(manifest(spark, sf_dir), F.lit(b"3"), F.lit(b"5")).select("level", "run_id")
