@@ -27,7 +27,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table
@@ -115,15 +115,19 @@ def fingerprint(text: bytes) -> bytes:
     return np.packbits(2 * ones > n).tobytes()
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, print): the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, *also: Column) -> DataFrame:
+    """(doc_id, print, also...): the fingerprint as a signed long."""
+    rows = docs.select("doc_id", "text", *also)
+    more = rows.columns[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = b"".join(fingerprint(t or b"") for t in batch.column("text").cast(pa.binary()).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.frombuffer(raw, ">i8").astype(np.int64))], names=["doc_id", "print"])
+            prints = pa.array(np.frombuffer(raw, ">i8").astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), prints, *(batch.column(c) for c in more)], names=["doc_id", "print", *more])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, print long")
+    kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in more]
+    return rows.mapInArrow(run, ", ".join(["doc_id long", "print long", *kinds]))
 
 
 def forest(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,20 +212,31 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         edges = stored(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), name)
 
 
+def rooted(nodes: DataFrame) -> DataFrame:
+    """nodes with root, the smallest fingerprint of their component; they have one row a print."""
+    roots = components(links(nodes), "simhash-links").select(F.col("u").alias("print"), F.col("v").alias("root"))
+    return nodes.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, print, component_id) of every document."""
     prints = stored(fingerprints(docs), "simhash")
-    nodes = prints.groupBy("print").agg(F.min("doc_id").alias("least"))
-    roots = components(links(nodes), "simhash-links").select(F.col("u").alias("print"), F.col("v").alias("root"))
-    rooted = nodes.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(rooted.select("print", "root").join(named, "root").drop("root"), "print").select("doc_id", "print", "component_id")
+    nodes = rooted(prints.groupBy("print").agg(F.min("doc_id").alias("least")))
+    named = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(nodes.select("print", "root").join(named, "root").drop("root"), "print").select("doc_id", "print", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without all but one document of each group: the smallest doc_id stays (of equal doc_ids, one row)."""
-    kept = near_duplicates(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept"))).drop("__kept").dropDuplicates(["doc_id"])
+    """docs without all but one row of each group: the smallest doc_id stays, nulls last, then the smallest text hash, then the smallest hash of all columns."""
+    text = F.xxhash64("text")
+    prints = stored(fingerprints(docs, text.alias("hash")), "simhash")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    nodes = rooted(prints.groupBy("print").agg(F.min(first).alias("least")))
+    kept = nodes.groupBy("root").agg(F.min("least").alias("least")).select(F.col("root").alias("__root"), F.col("least.doc_id").alias("__id"), F.col("least.hash").alias("__hash"))
+    # of a group, only rows that agree in doc_id and text are left here
+    left = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (text == F.col("__hash")))
+    nth = F.row_number().over(Window.partitionBy("__root").orderBy(F.xxhash64(F.struct(*docs.columns).cast("string"))))
+    return left.withColumn("__nth", nth).where("__nth = 1").drop("__root", "__id", "__hash", "__nth")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

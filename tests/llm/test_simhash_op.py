@@ -119,3 +119,12 @@ def test_one_document_of_each_group_stays(spark, edges):
     kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"]) == sorted({c for c in components([(r[0], fingerprint(r[1])) for r in ROWS]) if c})
+
+
+def test_null_and_repeated_ids_do_not_cost_a_group_its_document(spark):
+    texts = [" ".join(f"{word}{i}" for i in range(40)) for word in ("river", "stone", "cloud", "field", "house")]
+    rows = [(None, texts[0], "en", "a", 1), (None, texts[1], "en", "a", 1), (None, texts[1], "en", "b", 1), (7, texts[2], "en", "a", 1), (7, texts[3], "en", "a", 1), (8, texts[3], "en", "a", 1), (7, texts[4], "en", "a", 1), (7, texts[4], "en", "a", 1), (6, texts[4], "fr", "a", 1), (None, texts[4], "fr", "a", 1)]
+    prints = [fingerprint(t) for t in texts]
+    assert all((x ^ y).bit_count() > 3 for i, x in enumerate(prints) for y in prints[:i])
+    kept = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_first(spark.createDataFrame(rows, DOCS)).collect()), key=str)
+    assert kept == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (6, texts[4])], key=str)
