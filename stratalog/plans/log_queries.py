@@ -37,6 +37,13 @@ def multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.multi_get(events(spark, sf_dir), keys).select(key_text(), "seq", "value")
 
 
+@query(f"WITH {LOG}, {NEWEST} SELECT c_custkey::VARCHAR AS k, seq, value FROM customer LEFT JOIN (SELECT * FROM newest WHERE op = 1) ON k = c_custkey::VARCHAR")
+def multi_get_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's key is asked for."""
+    keys = table(spark, sf_dir, "customer").select(utf8(F.col("c_custkey").cast("string")).alias("key"))
+    return log.multi_get(events(spark, sf_dir), keys).select(key_text(), "seq", "value")
+
+
 @query(f"WITH {LOG}, {NEWEST} SELECT k, seq FROM newest WHERE op = 2")
 def tombstone_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.latest(events(spark, sf_dir)).where("op = 2").select(key_text(), "seq")

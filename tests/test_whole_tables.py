@@ -20,3 +20,8 @@ def test_every_run_has_its_overlaps(spark):
         ranges[r[0]] = min(low, r[1]), max(high, r[1])
     expected = {x: sum(x != y and b >= low and a <= high for y, (low, high) in ranges.items()) for x, (a, b) in ranges.items()}
     assert {r["run_id"]: r["overlaps"] for r in QUERIES["overlap_counts"](spark, DATA).collect()} == expected
+
+
+def test_every_customer_is_looked_up(spark):
+    asked = [str(r[0]) for r in spark.read.parquet(f"{DATA}/customer.parquet").select("c_custkey").collect()]
+    assert sorted(r["k"] for r in QUERIES["multi_get_all"](spark, DATA).collect()) == sorted(asked)
