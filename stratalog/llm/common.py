@@ -37,6 +37,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parted(df: DataFrame, name: str, size: int) -> DataFrame:
+    """df, of columns part and kind, written to the shared folder in at least `size` buckets of part and read again.
+
+    What groups its rows by part then reads each bucket where it lies; only what is joined to them is shuffled.
+    """
+    spark = df.sparkSession
+    made = f"{name}_{uuid.uuid4().hex}"
+    # with fewer buckets than shuffle partitions Spark would deal both sides anew
+    buckets = min(100_000, max(size, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    path = f"{scratch_dir(spark)}/{made}"
+    df.write.option("compression", "zstd").option("path", path).partitionBy("kind").bucketBy(buckets, "part").saveAsTable(made)
+    return spark.table(made)
+
+
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts."""
+    return docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once, however often a nested lambda uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

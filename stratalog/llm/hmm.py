@@ -6,12 +6,14 @@ share of its class comes from the counts of all training documents. So the state
 parameters are bounded, while the counts of words grow with the corpus: they are
 summed and sent back by joins sharded by word. Documents are held in parts of some
 PART tokens, each with a dictionary of its own, so only distinct words of a part are
-joined, and a part is scored in one task.
+joined, and a part is scored in one task, where it lies.
 
-Baum-Welch: every round goes over all training documents, cut into segments of
-SEGMENT tokens for this purpose; expected counts are summed by class across tasks.
-The score is the scaled forward recursion over the whole text: exact. Long texts
-go through the product of their segments' transfer matrices, which is the same sum.
+Baum-Welch: every round goes over all training documents, each as one sequence;
+expected counts are summed by class across tasks. The score is the scaled forward
+recursion over the whole text. Both are exact for this model of classes. Long texts
+are cut into segments that are computed together: the product of the transfer matrices
+before a segment gives the state it starts in, and that after it what its end is worth,
+so the cuts change no count and no likelihood.
 
 Null text counts as empty: its one token is the end. A null doc_id counts as empty
 text in the held-out rule. Rows that repeat stay. With no training row each token has
@@ -21,7 +23,6 @@ none. Further columns are ignored.
 
 from __future__ import annotations
 
-import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, scratch_dir, stored, table
+from .common import crc_remainder, parted, stored, table, text_bytes
 
 STATES, ROUNDS = 8, 5
 OWN, HASHED = 2048, 2048
@@ -39,9 +40,10 @@ END = OWN + HASHED
 CLASSES = END + 1
 SMOOTH = 0.1
 PART = 2_000_000
-SEGMENT, TOGETHER = 256, 1500
-#: Texts of more tokens are scored by transfer matrices.
-LONG = 4096
+#: Tokens of a segment of a long text, and of all segments computed together.
+SEGMENT, TOGETHER = 256, 400_000
+#: Texts of more tokens are cut when training and when scoring.
+WHOLE, LONG = 1024, 4096
 
 
 def encode(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -91,11 +93,8 @@ def encode(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         doc, out, ids = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), pa.array([part] * k, pa.int64()), pa.array(doc, pa.int64()), pa.array(out, pa.bool_()), pa.array(ids, pa.binary()), pa.nulls(k, pa.string()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64())], schema=schema)
 
-    spark = docs.sparkSession
-    path = f"{scratch_dir(spark)}/hmm-{uuid.uuid4().hex}"
     made = docs.select("doc_id", "text", "held_out").mapInArrow(run, "kind int, part long, doc_id long, held_out boolean, ids binary, word string, local int, n long")
-    made.write.option("compression", "zstd").partitionBy("kind").parquet(path)
-    rows = spark.read.schema("part long, doc_id long, held_out boolean, ids binary, word string, local int, n long, kind int").parquet(path)
+    rows = parted(made, "hmm", text_bytes(docs) // (4 * PART))
     return rows.where("kind = 0").select("part", "doc_id", "held_out", "ids"), rows.where("kind = 1").select(F.col("part").alias("of_part"), "word", "local", "n")
 
 
@@ -156,44 +155,119 @@ def start(frequency: np.ndarray) -> dict:
     return {"pi": np.full(STATES, 1 / STATES), "a": a, "b": b / b.sum(0)}
 
 
-def segments(docs: list[bytes]) -> list[tuple[np.ndarray, bool]]:
-    out = []
-    for raw in docs:
-        x = np.frombuffer(raw, "<u2")
-        out += [(x[i : i + SEGMENT], i == 0) for i in range(0, len(x), SEGMENT)]
+def transfers(parts: list[np.ndarray], first: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each segment, the product of its steps' matrices, scaled, and log10 of the scale; a first one has no step before its first token."""
+    n, steps = len(parts), max(map(len, parts))
+    size, cls = np.array([len(x) for x in parts]), np.zeros((len(parts), steps), np.int64)
+    for i, x in enumerate(parts):
+        cls[i, : len(x)] = x
+    m, logs = np.broadcast_to(np.eye(STATES, dtype=a.dtype), (n, STATES, STATES)).copy(), np.zeros(n)
+    for t in range(steps):
+        real = slice(None) if (size > t).all() else np.nonzero(size > t)[0]
+        moved = m[real] @ a
+        if t == 0:
+            moved[first] = m[first]
+        moved *= b[cls[real, t]][:, None, :]
+        s = moved.sum((1, 2))
+        m[real] = moved / s[:, None, None]
+        logs[real] += np.log10(s)
+    return m, logs
+
+
+def cut(seqs: list[np.ndarray]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """(segments, sequence of each, whether it is a first one) of stretches of some TOGETHER tokens; a sequence may go on in the next."""
+    parts: list[np.ndarray] = []
+    of: list[int] = []
+    first: list[bool] = []
+    for i, x in enumerate(seqs):
+        for at in range(0, len(x), SEGMENT):
+            parts.append(x[at : at + SEGMENT])
+            of.append(i)
+            first.append(at == 0)
+            if len(parts) * SEGMENT >= TOGETHER:
+                yield parts, np.array(of), np.array(first)
+                parts, of, first = [], [], []
+    if parts:
+        yield parts, np.array(of), np.array(first)
+
+
+#: A piece to count: its classes, whether it begins a text, the states before it and what its end is worth.
+Piece = tuple[np.ndarray, bool, np.ndarray, np.ndarray]
+
+
+def pieces(docs: list[bytes], model: dict) -> list[Piece]:
+    """The texts, long ones in segments with the states before them and the worth of what follows."""
+    one, pi = np.ones(STATES), model["pi"]
+    seqs = [np.frombuffer(raw, "<u2") for raw in docs]
+    out: list[Piece] = [(x, True, pi, one) for x in seqs if len(x) <= WHOLE]
+    long = [x for x in seqs if len(x) > WHOLE]
+    made: list[tuple[np.ndarray, int, bool, np.ndarray]] = []
+    for parts, of, first in cut(long):
+        m, _ = transfers(parts, first, model["a"].astype(np.float32), model["b"].astype(np.float32))
+        made += zip(parts, of.tolist(), first.tolist(), m.astype(np.float64), strict=True)
+    before, state = [], pi
+    for _, _, first, m in made:
+        state = pi if first else state
+        before.append(state)
+        state = state @ m
+        state = state / state.sum()
+    worth, after = one, [one] * len(made)
+    for i in range(len(made) - 1, 0, -1):
+        worth = one if made[i][2] else made[i][3] @ worth
+        after[i - 1] = worth = worth / worth.sum()
+    out += [(x, first, s, w) for (x, _, first, _), s, w in zip(made, before, after, strict=True)]
     return sorted(out, key=lambda s: len(s[0]))
 
 
-def expected(parts: list[tuple[np.ndarray, bool]], model: dict) -> np.ndarray:
+def together(parts: list[Piece]) -> Iterator[list[Piece]]:
+    """Stretches of pieces sorted by length, padded at most TOGETHER tokens."""
+    at = 0
+    while at < len(parts):
+        n = 1
+        while at + n < len(parts) and len(parts[at + n][0]) * (n + 1) <= TOGETHER:
+            n += 1
+        yield parts[at : at + n]
+        at += n
+
+
+def expected(parts: list[Piece], model: dict) -> np.ndarray:
     """Expected counts of (class, state), then of transitions, then of first states."""
-    a, pi = model["a"].astype(np.float32), model["pi"].astype(np.float32)
-    b = np.concatenate([model["b"], np.ones((1, STATES))]).astype(np.float32)  # a last row for what pads a segment
-    steps, n = max(len(x) for x, _ in parts), len(parts)
+    a = model["a"].astype(np.float32)
+    b = np.concatenate([model["b"], np.ones((1, STATES))]).astype(np.float32)  # a last row for what pads a piece
+    steps, n = max(len(p[0]) for p in parts), len(parts)
     cls = np.full((n, steps), CLASSES, np.int64)
-    for i, (x, _) in enumerate(parts):
-        cls[i, : len(x)] = x
+    for i, p in enumerate(parts):
+        cls[i, : len(p[0])] = p[0]
     cls = np.ascontiguousarray(cls.T)
+    begins = np.array([p[1] for p in parts])
+    before = np.array([p[2] for p in parts], np.float32)
     seen = b[cls]
     alpha, scale = np.empty_like(seen), np.empty((steps, n, 1), np.float32)
     for t in range(steps):
-        x = (alpha[t - 1] @ a if t else pi) * seen[t]
+        x = (alpha[t - 1] @ a if t else np.where(begins[:, None], before, before @ a)) * seen[t]
         scale[t] = x.sum(1, keepdims=True)
         alpha[t] = x / scale[t]
-    beta, moves = np.ones((n, STATES), np.float32), np.zeros((STATES, STATES))
+    # a piece that isn't its text's last is a whole segment, so nothing pads it if it is among the longest
+    beta, moves = np.array([p[3] for p in parts], np.float32), np.zeros((STATES, STATES))
+    size = np.array([len(p[0]) for p in parts])
+    after, beta = beta, np.ones((n, STATES), np.float32)
     for t in range(steps - 1, -1, -1):
+        last = size == t + 1
+        if last.any():
+            worth = after[last]
+            beta[last] = worth / (alpha[t][last] * worth).sum(1, keepdims=True)
         w = seen[t] * beta / scale[t]
+        alpha_before = alpha[t - 1] if t else before
+        real = size > t if t else ~begins
+        moves += alpha_before[real].T @ w[real]
         alpha[t] *= beta
-        if t:
-            real = cls[t] < CLASSES
-            before = alpha[t - 1]
-            moves += before[real].T @ w[real]
-            beta = w @ a.T
+        beta = w @ a.T
     counts = np.zeros((CLASSES + STATES + 1, STATES))
     flat = cls.ravel()
     for s in range(STATES):
         counts[:CLASSES, s] = np.bincount(flat, weights=alpha[:, :, s].ravel(), minlength=CLASSES + 1)[:CLASSES]
     counts[CLASSES:-1] = moves * a
-    counts[-1] = alpha[0][np.array([f for _, f in parts])].sum(0)
+    counts[-1] = alpha[0][begins].sum(0)
     return counts
 
 
@@ -207,9 +281,8 @@ def train(docs: DataFrame, frequency: np.ndarray) -> dict:
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             counts = np.zeros((CLASSES + STATES + 1, STATES))
             for batch in batches:
-                parts = segments(batch.column(0).to_pylist())
-                for i in range(0, len(parts), TOGETHER):
-                    counts += expected(parts[i : i + TOGETHER], held.value)
+                for parts in together(pieces(batch.column(0).to_pylist(), held.value)):
+                    counts += expected(parts, held.value)
             at = np.nonzero(counts.sum(1))[0]
             yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(counts[at, s]) for s in range(STATES))], names=["k", *columns])
 
@@ -246,35 +319,22 @@ def forward(docs: list[bytes], model: dict) -> np.ndarray:
             scales[t, :k] = s
             x = x / s[:, None]
         out[some] = np.log10(scales).sum(0)
-    for i in (i for i, x in enumerate(seqs) if len(x) > LONG):
-        out[i] = long_forward(seqs[i], a, b, pi)
+    long = [i for i, x in enumerate(seqs) if len(x) > LONG]
+    out[long] = long_forward([seqs[i] for i in long], model)
     return out
 
 
-def long_forward(x: np.ndarray, a: np.ndarray, b: np.ndarray, pi: np.ndarray) -> float:
-    n = -(-len(x) // SEGMENT)
-    total, state, first = 0.0, pi, True
-    for lo in range(0, n, 2048):
-        some = [x[i * SEGMENT : (i + 1) * SEGMENT] for i in range(lo, min(n, lo + 2048))]
-        cls = np.full((len(some), SEGMENT), -1, np.int64)
-        for i, s in enumerate(some):
-            cls[i, : len(s)] = s
-        m, logs = np.broadcast_to(np.eye(STATES), (len(some), STATES, STATES)).copy(), np.zeros(len(some))
-        for t in range(SEGMENT):
-            real = cls[:, t] >= 0
-            moved = m[real] @ a
-            if first and t == 0:  # no transition before the very first token
-                moved[0] = m[0]
-            moved = moved * b[cls[real, t]][:, None, :]
-            s = moved.sum((1, 2))
-            m[real] = moved / s[:, None, None]
-            logs[real] += np.log10(s)
-        first = False
-        for i in range(len(some)):
-            state = state @ m[i]
+def long_forward(seqs: list[np.ndarray], model: dict) -> np.ndarray:
+    """log10 of each long sequence's likelihood, by its segments' transfer matrices."""
+    out, state = np.zeros(len(seqs)), model["pi"]
+    for parts, of, first in cut(seqs):
+        m, logs = transfers(parts, first, model["a"], model["b"])
+        for k, i in enumerate(of.tolist()):
+            state = (model["pi"] if first[k] else state) @ m[k]
             s = state.sum()
-            state, total = state / s, total + logs[i] + np.log10(s)
-    return float(total)
+            state = state / s
+            out[i] += logs[k] + np.log10(s)
+    return out
 
 
 def score(docs: DataFrame) -> DataFrame:

@@ -77,7 +77,7 @@ def test_long_texts_have_the_same_likelihood():
     for n in (1, 255, 256, 257, 5000):
         x = random.integers(0, hmm.CLASSES, n)
         short = hmm.forward([packed(x)], model)[0] if n <= hmm.LONG else None
-        whole = hmm.long_forward(np.array(x, "<u2"), model["a"], model["b"], model["pi"])
+        whole = hmm.long_forward([np.array(x, "<u2")], model)[0]
         step = 0.0
         state = model["pi"] * model["b"][x[0]]
         for c in x[1:]:
@@ -97,7 +97,7 @@ def test_expected_counts_are_those_of_the_posterior():
             p *= model["b"][seq[t], s] * (model["a"][path[t - 1], s] if t else 1)
         paths[path] = p
     z = sum(paths.values())
-    got = hmm.expected([(np.array(seq, "<u2"), True)], model)
+    got = hmm.expected(hmm.pieces([packed(seq)], model), model)
     for s in range(hmm.STATES):
         assert got[9, s] == pytest.approx(sum(p for q, p in paths.items() if q[1] == s) / z, rel=1e-3)
         assert got[-1, s] == pytest.approx(sum(p for q, p in paths.items() if q[0] == s) / z, rel=1e-3)
@@ -105,8 +105,58 @@ def test_expected_counts_are_those_of_the_posterior():
     assert got[hmm.CLASSES, 1] == pytest.approx(moves, rel=1e-3)
 
 
-def test_probabilities_sum_to_one_over_known_and_unknown_words(spark, folder):
-    """Of one-word texts with every known word: with their classes' shares, less than 1 in all, and learning beats chance."""
+def uncut(seqs: list[np.ndarray], model: dict) -> np.ndarray:
+    """Expected counts by forward and backward over whole sequences, a step at a time."""
+    a, b, pi = model["a"], model["b"], model["pi"]
+    counts = np.zeros((hmm.CLASSES + hmm.STATES + 1, hmm.STATES))
+    for x in seqs:
+        alpha, scale = [pi * b[x[0]]], []
+        for t in range(len(x)):
+            if t:
+                alpha.append(alpha[-1] @ a * b[x[t]])
+            scale.append(alpha[-1].sum())
+            alpha[-1] = alpha[-1] / scale[-1]
+        beta = np.ones(hmm.STATES)
+        for t in range(len(x) - 1, -1, -1):
+            counts[x[t]] += alpha[t] * beta
+            w = b[x[t]] * beta / scale[t]
+            if t:
+                counts[hmm.CLASSES : -1] += np.outer(alpha[t - 1], w) * a
+            else:
+                counts[-1] += alpha[0] * beta
+            beta = a @ w
+    return counts
+
+
+def test_cuts_change_no_count(monkeypatch):
+    """Long texts are cut; the state is carried over each cut, so expected counts are those of the whole sequences."""
+    monkeypatch.setattr(hmm, "WHOLE", 40)
+    monkeypatch.setattr(hmm, "SEGMENT", 16)
+    monkeypatch.setattr(hmm, "TOGETHER", 100)
+    model, random = random_model(5), np.random.default_rng(6)
+    # states that last, so that what is carried over matters
+    model["a"] = 0.95 * np.eye(hmm.STATES) + 0.05 * model["a"]
+    seqs = [random.integers(0, 12, n) for n in (1, 2, 16, 17, 40, 41, 48, 49, 64, 333, 5)]
+    got = np.zeros((hmm.CLASSES + hmm.STATES + 1, hmm.STATES))
+    for parts in hmm.together(hmm.pieces([packed(x) for x in seqs], model)):
+        got += hmm.expected(parts, model)
+    whole = uncut(seqs, model)
+    assert whole[hmm.CLASSES : -1].sum() == pytest.approx(sum(len(x) - 1 for x in seqs))
+    assert got == pytest.approx(whole, rel=2e-3, abs=2e-4)
+
+
+def test_likelihood_grows_with_each_round(spark):
+    """Baum-Welch over whole documents never lowers the training texts' likelihood (but for what smoothing costs)."""
+    random = np.random.default_rng(8)
+    docs = [packed(random.integers(0, 40, n) + 20 * (i % 2)) for i, n in enumerate((5, 300, 1500, 7, 2600, 64))]
+    frequency = np.bincount(np.concatenate([np.frombuffer(x, "<u2") for x in docs]), minlength=hmm.CLASSES).astype(float)
+    rows = spark.createDataFrame([(False, x) for x in docs], "held_out boolean, classes binary")
+    first, last = (hmm.forward(docs, m).sum() for m in (hmm.start(frequency), hmm.train(rows, frequency)))
+    assert last > first
+
+
+def test_classes_beat_chance_on_held_out_texts(spark, folder):
+    """Texts of two kinds of words: what the states learn makes held-out texts likelier than the words' shares do."""
     rows = [(i, " ".join(["aa bb"] * 5) if i % 2 else "cc dd cc dd", None, None, None) for i in range(60)]
     scored = {r["doc_id"]: r for r in hmm.op8_hmm(spark, folder(documents=(rows, DOCS))).collect()}
     held = [r for r in scored.values() if r["held_out"]]
