@@ -2,10 +2,11 @@
 
 Each document's measures are taken over its whole text. Log-bucket quantile sketches
 (relative error (GAMMA - 1) / (GAMMA + 1)), whose counts merge by addition, are built
-per language and source over all documents that pass the base rules; a group of
-fewer than LEAST documents takes its language's merged sketch, and such a language
-the corpus's. A document is kept if each measure lies within its group's fences: REACH
-quartile ranges, plus a slack, beyond the quartiles.
+per language and source over all documents that pass the base rules. A group's quartiles
+are blended with its language's, and those with the corpus's: n documents of its own weigh
+n, what it is blended with PRIOR, so every source's own sketch counts at every size, the
+more the larger it is. A document is kept if each measure lies within its group's fences:
+REACH quartile ranges, plus a slack, beyond the blended quartiles.
 
 Null text has no words and fails the base rules; null language or source is a group.
 Rows that repeat stay. An empty table gives none. A column named like a result is replaced.
@@ -26,7 +27,8 @@ from pyspark.sql import types as T
 from .common import stored, table
 
 GAMMA = 1.02
-LEAST = 100
+#: Documents that the wider group counts for in a blend.
+PRIOR = 20
 REACH = 3.0
 #: Of each measure: slack, its part that falls with the root of the words, and whether low values fail too.
 MEASURES = {"word_length": (1.0, 12.0, True), "symbols": (0.1, 0.5, False), "dup_lines": (0.2, 0.5, False), "repeats": (0.1, 0.5, False)}
@@ -101,7 +103,7 @@ def fences(sketch: DataFrame, by: list[str]) -> DataFrame:
 
 
 def thresholds(rows: DataFrame) -> DataFrame:
-    """One row per language and source: the quartiles that hold for it, by measure."""
+    """One row per language and source: the blended quartiles that hold for it, by measure."""
     bucket = lambda x: F.when(x > 0, F.ceil(F.ln(x) / math.log(GAMMA)).cast("int"))
     each = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), bucket(ratio(m)).alias("bucket")) for m in MEASURES)))
     sketch = stored(rows.where(~base_failed()).select("lang", "source", each.alias("x")).groupBy("lang", "source", "x.measure", "x.bucket").agg(F.count("*").alias("n")), "sketches")
@@ -111,7 +113,8 @@ def thresholds(rows: DataFrame) -> DataFrame:
     lang = lang.select(F.col("lang").alias("l"), F.col("rows").alias("l_rows"), F.struct(*names).alias("of_lang"))
     all_ = all_.select(F.struct(*names).alias("of_all"), F.lit(1).alias("one"))
     joined = own.withColumn("one", F.lit(1)).join(lang, F.col("lang").eqNullSafe(F.col("l"))).join(all_, "one")
-    held = F.when(F.col("rows") >= LEAST, F.struct(*names)).when(F.col("l_rows") >= LEAST, F.col("of_lang")).otherwise(F.col("of_all"))
+    blend = lambda q, n, wider: (q * n + wider * F.lit(float(PRIOR))) / (n + F.lit(float(PRIOR)))
+    held = F.struct(*(blend(F.col(c), F.col("rows"), blend(F.col("of_lang")[c], F.col("l_rows"), F.col("of_all")[c])).alias(c) for c in names))
     return joined.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), held.alias("__q"))
 
 
@@ -149,8 +152,11 @@ def oracle() -> str:
     min(CASE WHEN upto > (total - 1) * 0.75::DOUBLE THEN {value} END) AS q3 FROM {name}_ranked GROUP BY {on} measure, total),
 {name} AS (SELECT {on} max(total) AS total, {cols} FROM {name}_q {f"GROUP BY {by}" if by else ""}),"""
 
+    def blend(q: str, n: str, wider: str) -> str:
+        return f"(({q} * {n} + {wider} * {float(PRIOR)}::DOUBLE) / ({n} + {float(PRIOR)}::DOUBLE))"
+
     def pick(c: str) -> str:
-        return f"CASE WHEN o.total >= {LEAST} THEN o.{c} WHEN l.total >= {LEAST} THEN l.{c} ELSE a.{c} END"
+        return blend(f"o.{c}", "o.total", blend(f"l.{c}", "l.total", f"a.{c}"))
 
     tests = []
     for m, (slack, falling, both) in MEASURES.items():

@@ -50,7 +50,7 @@ def test_edges(spark, edges):
 
 
 def test_groups(spark, folder, oracle):
-    """Some groups have sketches of their own; the rare language takes its own or the corpus's."""
+    """Groups of different sizes, blended with their language's and the corpus's quartiles."""
     rows = some_rows()
     sf_dir = folder(documents=(rows, DOCS))
     got = collected(rules.op6_rules(spark, sf_dir), *COLUMNS)
@@ -59,6 +59,20 @@ def test_groups(spark, folder, oracle):
     assert all(not r[7] for r in got if r[6])
 
 
+def test_each_source_decides_for_itself(spark, folder, oracle):
+    """What is usual in one source is out of bounds in the other, of the same language; the SQL agrees row by row."""
+    rng = random.Random(3)
+    plain = lambda i: " ".join(f"word{rng.randrange(10**6)}" for _ in range(60)) + " #" * (i % 3)
+    marked = lambda i: " ".join(f"word{rng.randrange(10**6)} ####" for _ in range(60)) + " #" * (i % 3)
+    rows = [(i, plain(i), "en", "prose", 1) for i in range(200)] + [(1000 + i, marked(i), "en", "code", 1) for i in range(200)]
+    rows += [(500, marked(0), "en", "prose", 1), (501, plain(0), "en", "code", 1)]
+    sf_dir = folder(documents=(rows, DOCS))
+    got = collected(rules.op6_rules(spark, sf_dir), *COLUMNS)
+    assert got == oracle(rules.oracle(), sf_dir, COLUMNS, "documents")
+    kept = {r[0]: r[-1] for r in got}
+    assert not kept[500] and all(kept[i] for i in kept if i != 500)
+
+
 def test_empty(spark, empty):
     assert rules.op6_rules(spark, empty).count() == 0
 
