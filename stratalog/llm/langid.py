@@ -3,10 +3,14 @@
 A text is a normalised TF-IDF vector of hashed byte 2- and 3-grams (lower-cased,
 other ASCII characters than letters as spaces). Document frequencies come from all
 training rows. Each language's vectors, of at most SAMPLE training rows chosen by
-hash, are clustered by spherical k-means to CLUSTERS centroids. A text takes the
-language of its nearest centroid by cosine, and is rejected if it is farther than
-that centroid's limit: a quarter of what nearly all short pieces of its members reach,
-and no more than a quarter of what those of its language do.
+hash, are clustered by spherical k-means to CLUSTERS centroids; a fifth of the sample is kept
+apart. A text takes the language of its nearest centroid by cosine. It is rejected if it is
+farther than the limit of its language for a text of its length, counted in distinct
+n-grams by powers of two: MARGIN times the smallest cosine that pieces of that length of the
+kept-apart texts reach. So what is as near as anything that the language was seen to hold
+stays, a text that is half in another language too (its cosine falls by about the root of
+two), and only what is clearly farther goes. Where no piece has that length, the limit of
+the next shorter ones holds.
 
 Null texts and texts without a letter are `und`, score 0, rejected. With no training
 row every text is. Null doc_id counts as empty text in the held-out rule. Rows that
@@ -33,8 +37,12 @@ SIZE = sum(DIMS)
 SAMPLE = 800
 CLUSTERS = 4
 ROUNDS = 12
-#: Words of the pieces that set a centroid's limit, and their quantile.
-PIECE, QUANTILE = 8, 0.01
+#: Words of the pieces that set the limits (besides whole texts), and what a limit is of the least cosine seen.
+PIECES, MARGIN = (1, 2, 4, 8, 16, 32, 64, 128), 0.6
+#: One of so many sampled rows is kept apart for the limits.
+APART = 5
+#: Powers of two of a text's distinct n-grams.
+LENGTHS = 16
 #: Rows and bytes of text made into vectors at once.
 ROWS, BYTES = 64, 4_000_000
 LETTERS = np.full(256, 32, np.uint8)
@@ -69,10 +77,12 @@ def counts(texts: pa.Array) -> np.ndarray:
     return out.reshape(n, SIZE)
 
 
-def vectors(texts: pa.Array, idf: np.ndarray) -> np.ndarray:
-    x = (np.log1p(counts(texts)) * idf).astype(np.float32)
+def vectors(texts: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors, and the power of two of each text's distinct n-grams."""
+    n = counts(texts)
+    x = (np.log1p(n) * idf).astype(np.float32)
     norm = np.sqrt(np.einsum("ij,ij->i", x, x))
-    return x / np.where(norm > 0, norm, 1)[:, None]
+    return x / np.where(norm > 0, norm, 1)[:, None], np.minimum(np.log2(np.maximum((n > 0).sum(1), 1)).astype(np.int64), LENGTHS - 1)
 
 
 def has_letter(texts: pa.Array) -> np.ndarray:
@@ -118,7 +128,7 @@ def train(docs: DataFrame) -> dict:
 
     sizes = {lang: n for lang, n in rows.groupBy("lang").count().collect()}
     if not sizes:
-        return {"idf": idf, "langs": [], "centroids": np.zeros((SIZE, 0), np.float32), "limits": np.zeros(0)}
+        return {"idf": idf, "langs": [], "centroids": np.zeros((SIZE, 0), np.float32), "limits": np.zeros((0, LENGTHS))}
     share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 1.3 * SAMPLE / n))))
     chance = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     some = rows.withColumn("chance", chance).where(F.col("chance") < F.element_at(share, F.col("lang")))
@@ -126,23 +136,34 @@ def train(docs: DataFrame) -> dict:
     first = F.row_number().over(Window.partitionBy("lang").orderBy("chance", "doc_id"))
     some = some.withColumn("nth", first).where(F.col("nth") <= SAMPLE).select("lang", "text", "nth")
 
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Vectors where the rows lie, so that long texts don't meet in one task; kept-apart rows give their pieces' too."""
+        for batch in batches:
+            for lang, text, nth in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if not has_letter(pa.array([text]))[0]:
+                    continue
+                words = text.split(None, PIECES[-1])
+                apart = nth % APART == 0
+                texts = [text, *(" ".join(words[:k]) for k in PIECES if k <= len(words))] if apart else [text]
+                x, length = vectors(pa.array(texts), idf)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(x)), pa.array([nth] * len(x), pa.int32()), pa.array([apart] * len(x)), pa.array(length, pa.int32()), pa.array([r.tobytes() for r in x])], names=["lang", "nth", "apart", "length", "x"])
+
     def fit(group: pa.Table) -> pa.Table:
-        group = group.sort_by("nth")
-        texts = group.column("text").cast(pa.string()).combine_chunks()
-        texts = texts.filter(pa.array(has_letter(texts)))
-        if not len(texts):
-            return pa.table({"lang": pa.array([], pa.string()), "cluster": pa.array([], pa.int32()), "centroid": pa.array([], pa.binary()), "least": pa.array([], pa.float64())})
-        x = np.concatenate([vectors(texts.slice(a, b - a), idf) for a, b in blocks(texts)])
-        c, own = clustered(x, CLUSTERS)
-        pieces = pa.array([" ".join(t.split()[:PIECE]) for t in texts.to_pylist()])
-        near = np.concatenate([vectors(pieces.slice(a, b - a), idf) for a, b in blocks(pieces)]) @ c.T
-        common = np.quantile(near.max(1), QUANTILE)
-        least = [float(min(common, np.quantile(near[own == j, j], QUANTILE))) / 4 if (own == j).any() else 0.0 for j in range(len(c))]
-        return pa.table({"lang": pa.array([group.column("lang")[0].as_py()] * len(c), pa.string()), "cluster": pa.array(range(len(c)), pa.int32()), "centroid": pa.array([r.tobytes() for r in c], pa.binary()), "least": pa.array(least)})
-
-    made = sorted(map(tuple, some.groupBy("lang").applyInArrow(fit, "lang string, cluster int, centroid binary, least double").collect()), key=lambda r: r[:2])
+        group = group.sort_by([("apart", "ascending"), ("nth", "ascending")])
+        x = np.frombuffer(b"".join(group.column("x").to_pylist()), np.float32).reshape(-1, SIZE)
+        apart, length = group.column("apart").to_numpy(), group.column("length").to_numpy()
+        c, _ = clustered(x if apart.all() else x[~apart], CLUSTERS)
+        near, limits = (x[apart] @ c.T).max(1) if apart.any() else np.zeros(0), np.full(LENGTHS, np.inf)
+        np.minimum.at(limits, length[apart], near)
+        last = 0.0
+        for i in range(LENGTHS):
+            last = limits[i] = MARGIN * limits[i] if np.isfinite(limits[i]) else last
+        return pa.table({"lang": pa.array([group.column("lang")[0].as_py()] * len(c), pa.string()), "cluster": pa.array(range(len(c)), pa.int32()), "centroid": pa.array([r.tobytes() for r in c], pa.binary()), "limits": pa.array([limits.tolist()] * len(c), pa.list_(pa.float64()))})
+
+    some = some.mapInArrow(sampled, "lang string, nth int, apart boolean, length int, x binary")
+    made = sorted(map(tuple, some.groupBy("lang").applyInArrow(fit, "lang string, cluster int, centroid binary, limits array<double>").collect()), key=lambda r: r[:2])
     m = np.array([np.frombuffer(r[2], np.float32) for r in made], np.float32).reshape(-1, SIZE)
-    return {"idf": idf, "langs": [r[0] for r in made], "centroids": np.ascontiguousarray(m.T), "limits": np.array([r[3] for r in made])}
+    return {"idf": idf, "langs": [r[0] for r in made], "centroids": np.ascontiguousarray(m.T), "limits": np.array([r[3] for r in made]).reshape(-1, LENGTHS)}
 
 
 def identify(docs: DataFrame, model: dict, names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
@@ -156,12 +177,13 @@ def identify(docs: DataFrame, model: dict, names: tuple[str, str, str] = ("lang_
             texts = pc.fill_null(batch.column("text").cast(pa.string()), "")
             real, lang, score, out = has_letter(texts), [], [], []
             for a, b in blocks(texts) if m["langs"] else ():
-                near = vectors(texts.slice(a, b - a), m["idf"]) @ m["centroids"]
+                x, length = vectors(texts.slice(a, b - a), m["idf"])
+                near = x @ m["centroids"]
                 best = near.argmax(1)
                 top = np.clip(near[np.arange(len(best)), best], 0, 1)
                 lang += [m["langs"][j] for j in best]
                 score += top.tolist()
-                out += (top < m["limits"][best]).tolist()
+                out += (top < m["limits"][best, length]).tolist()
             if not m["langs"]:
                 real, lang, score, out = np.zeros(len(texts), bool), ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
             cols = [pa.array([x if ok else no for x, ok in zip(got, real, strict=True)], kind) for got, no, kind in ((lang, "und", pa.string()), (score, 0.0, pa.float64()), (out, True, pa.bool_()))]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import random
 
@@ -67,6 +68,53 @@ def test_text_of_another_script_is_rejected(spark):
     assert [r["rejected"] for r in langid.identify(odd, model).orderBy("text").collect()] == [False, True]
 
 
+def junk(rng: random.Random) -> str:
+    """Random letters, hexadecimal, base 64, or identifiers: letters, but no language."""
+    kind = rng.randrange(3)
+    if kind == 0:
+        return " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randrange(3, 10))) for _ in range(rng.randrange(15, 80)))
+    if kind == 1:
+        return "".join(rng.choice("0123456789abcdef") for _ in range(rng.randrange(200, 600)))
+    return "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(rng.randrange(200, 600)))
+
+
+def test_nearest_centroid_by_brute_force(spark):
+    """Each text's cosines with all centroids, one by one, in plain Python."""
+    rows = some_rows(90)
+    docs = spark.createDataFrame(rows, DOCS)
+    model = langid.train(docs)
+    for r in langid.identify(docs, model).collect():
+        grams: dict[int, int] = {}
+        raw = [b if 97 <= b <= 122 or b >= 128 else 32 for b in f" {r['text'].lower()} ".encode()]
+        for n, low, dims in ((2, 0, langid.DIMS[0]), (3, langid.DIMS[0], langid.DIMS[1])):
+            for i in range(len(raw) - n + 1):
+                code = int.from_bytes(bytes(raw[i : i + n]), "big")
+                at = (code * 2654435761 >> 15) % dims + low
+                grams[at] = grams.get(at, 0) + 1
+        x = {g: math.log1p(n) * model["idf"][g] for g, n in grams.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        near = [sum(v * float(model["centroids"][g, j]) for g, v in x.items()) / norm for j in range(len(model["langs"]))]
+        best = max(range(len(near)), key=near.__getitem__)
+        assert r["lang_pred"] == model["langs"][best]
+        assert r["score"] == pytest.approx(near[best], abs=1e-4)
+        assert r["rejected"] == (near[best] < model["limits"][best, min(int(math.log2(len(grams))), langid.LENGTHS - 1)])
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables aren't here")
+def test_junk_is_rejected_and_documents_are_not(spark):
+    """Trained on the driver's documents: of texts without a language nearly all are rejected, of documents with a label next to none."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(4)
+    model = langid.train(docs.where(~langid.held_out()))
+    odd = langid.identify(spark.createDataFrame([(junk(rng),) for _ in range(200)], "text string"), model).collect()
+    rate = sum(r["rejected"] for r in odd) / len(odd)
+    kept = langid.identify(docs.where("text is not null"), model).where("lang_pred <> 'und'").collect()
+    lost = [r for r in kept if r["rejected"]]
+    print(f"junk rejected: {rate:.3f}; documents rejected: {len(lost)} of {len(kept)}", [(r["score"], r["text"][:60]) for r in lost][:9])
+    assert rate >= 0.95
+    assert len(lost) <= 0.003 * len(kept)
+
+
 def test_stage_keeps_columns(spark):
     docs = spark.createDataFrame([*some_rows(), *ROWS], DOCS).selectExpr("*", "1 AS score", "2 AS rejected", "3 AS lang_pred")
     got = langid.keep_identified(docs)
