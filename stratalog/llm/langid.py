@@ -38,7 +38,7 @@ SAMPLE = 800
 CLUSTERS = 4
 ROUNDS = 12
 #: Words of the pieces that set the limits (besides whole texts), and what a limit is of the least cosine seen.
-PIECES, MARGIN = (1, 2, 4, 8, 16, 32, 64, 128), 0.6
+PIECES, MARGIN = (1, 2, 4, 8, 16, 32, 64, 128), 0.7
 #: One of so many sampled rows is kept apart for the limits.
 APART = 5
 #: Powers of two of a text's distinct n-grams.
