@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, fields
 from pathlib import Path
 
@@ -22,7 +23,10 @@ LOG = T.StructType([T.StructField("seq", T.LongType(), False), T.StructField("op
 
 @dataclass(frozen=True)
 class Settings:
-    """Sizes in bytes. `sync_every` is the trigger interval of streaming writers."""
+    """Sizes in bytes. `sync_every` is the trigger interval of streaming writers.
+
+    durability: with SYNC and BATCH a put returns once its batch is in the log; with ASYNC it returns at once.
+    """
 
     segment_bytes: int = 1 << 20
     memtable_bytes: int = 4 << 20
@@ -46,6 +50,30 @@ class Settings:
         return Settings(**{f.name: given[f.name] for f in fields(Settings) if given.get(f.name) is not None})
 
 
+class Watched:
+    """Settings of a file, read anew between batches when it changed; a listener hears of old and new ones."""
+
+    def __init__(self, path: str | Path, listener: Callable[[Settings, Settings], None] | None = None):
+        self.path, self.listener = Path(path), listener
+        self.seen, self.settings = self._stamp(), Settings.load(path)
+
+    def _stamp(self) -> tuple[int, int] | None:
+        return (s.st_mtime_ns, s.st_size) if self.path.exists() and (s := self.path.stat()) else None
+
+    def current(self) -> Settings:
+        """The newest settings; a file that can't be read or is wrong leaves the old ones."""
+        if (stamp := self._stamp()) != self.seen:
+            self.seen = stamp
+            try:
+                new = Settings.load(self.path)
+            except (ValueError, TypeError):
+                return self.settings
+            old, self.settings = self.settings, new
+            if self.listener and new != old:
+                self.listener(old, new)
+        return self.settings
+
+
 def thresholds(settings: Settings = Settings()) -> dict[int, int]:
     """Files at which each level is merged into the next."""
     return {0: settings.level0_trigger, **{n: 10**n for n in range(1, LEVELS)}}
@@ -63,9 +91,11 @@ def checked(log: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path under spark.checkpoint.dir, which executors share; a temporary one where it is unset (tests)."""
+    """A new path under spark.checkpoint.dir, which executors share; in local mode a temporary one where it is unset (tests)."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = f"file://{tempfile.mkdtemp(prefix='stratalog-')}"
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top}/{uuid.uuid4().hex}"

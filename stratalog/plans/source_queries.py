@@ -92,3 +92,55 @@ def sorted_files_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     offset = F.conv(F.hex(F.expr("right(content, 8)")), 16, -10).cast("long")
     heads = made.withColumn("index_offset", offset).withColumn("entries", F.conv(F.hex(F.expr("substring(content, cast(index_offset + 1 as int), 4)")), 16, 10).cast("long"))
     return snapshots.summary(snapshots.structural(heads))
+
+
+@query(f"WITH {LOG}, {NEWEST} SELECT k, seq, value::BIGINT AS value FROM (SELECT k, seq, floor(value) AS value FROM newest WHERE op = 1)")
+def store_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half is flushed, half only logged, then the writer is gone: a store opened on the folder holds all of it."""
+    folder = shared_folder(spark)
+    rows = events(spark, sf_dir).withColumn("value", utf8(F.floor("value").cast("long").cast("string")))
+    half = F.lit(rows.agg(F.max("seq")).first()[0] or 0) / 2
+    store = Store(spark, folder)
+    for part, flushed in ((rows.where(F.col("seq") < half), True), (rows.where(F.col("seq") >= half), False)):
+        store.put(part.where("op = 1").drop("op"))
+        store.delete(part.where("op = 2").select("seq", "key"))
+        if flushed:
+            store.flush()
+    del store
+    return Store(spark, folder).live().select(text(F.col("key")).alias("k"), "seq", text(F.col("value")).cast("long").alias("value"))
+
+
+@query(f"WITH {LOG}, {NEWEST} SELECT c_custkey::VARCHAR AS k, seq, value::BIGINT AS value FROM customer LEFT JOIN (SELECT k, seq, floor(value) AS value FROM newest WHERE op = 1) ON k = c_custkey::VARCHAR")
+def store_multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers looked up in a store of two runs and a log."""
+    store = Store(spark, shared_folder(spark))
+    rows = events(spark, sf_dir).withColumn("value", utf8(F.floor("value").cast("long").cast("string")))
+    for i in range(3):
+        part = rows.where(F.col("seq") % 3 == i)
+        store.put(part.where("op = 1").drop("op"))
+        store.delete(part.where("op = 2").select("seq", "key"))
+        if i < 2:
+            store.flush()
+    keys = spark.read.parquet(f"{sf_dir}/customer.parquet").select(utf8(F.col("c_custkey").cast("string")).alias("key"))
+    return store.multi_get(keys).select(text(F.col("key")).alias("k"), "seq", text(F.col("value")).cast("long").alias("value"))
+
+
+@query(
+    f"""WITH {LOG}, parts AS (SELECT *, seq % 3 AS part FROM log), runs AS (SELECT part, k, max(seq) AS seq, arg_max(op, seq) AS op, arg_max(floor(value)::BIGINT::VARCHAR, seq) AS v FROM parts GROUP BY part, k)
+SELECT 3::BIGINT AS total_files, sum(8 + length(k) + CASE WHEN op = 1 THEN length(v) ELSE 0 END)::BIGINT AS total_bytes, count(*) AS entries, max(seq) AS last_seq,
+(SELECT count(*) FROM (SELECT k, arg_max(op, seq) AS op FROM log GROUP BY k) WHERE op = 1) AS live FROM runs"""
+)
+def store_backup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs and a log copied to a snapshot, which is opened as a store of its own."""
+    store = Store(spark, shared_folder(spark))
+    rows = events(spark, sf_dir).withColumn("value", utf8(F.floor("value").cast("long").cast("string")))
+    for i in range(3):
+        part = rows.where(F.col("seq") % 3 == i)
+        store.put(part.where("op = 1").drop("op"))
+        store.delete(part.where("op = 2").select("seq", "key"))
+        if i < 2:
+            store.flush()
+    info = store.backup("first")
+    copy = Store(spark, f"{store.path}/snapshots/first")
+    numbers = [F.lit(info[c]).cast("long").alias(c) for c in ("total_files", "total_bytes", "entries", "last_seq")]
+    return copy.live().agg(F.count("*").alias("live")).select(*numbers, "live")

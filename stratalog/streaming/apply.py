@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..model import DELETE, FLUSH, PUT, op_code
 from ..operators.log import latest
+from ..store import Store
 
 
 def log_stream(spark: SparkSession, path: str, schema, files_a_batch: int = 1) -> DataFrame:
@@ -30,6 +32,27 @@ def apply_each(log: DataFrame, callback: Callable[[DataFrame, int], None], check
     return log.writeStream.foreachBatch(lambda batch, n: callback(latest(batch), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def apply_commands(log: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
+    """Applies a stream of (seq, op, key, value) to a store in offset order: puts and deletes, and a flush where its batch holds one.
+
+    A repeated batch changes nothing: entries carry their seq, and the newest of a key wins. An unknown op fails the batch.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        rows = batch.select("seq", op_code(F.col("op")).alias("op"), "key", "value").persist()
+        try:
+            for op, use in ((PUT, store.put), (DELETE, lambda r: store.delete(r.select("seq", "key")))):
+                some = rows.where(F.col("op") == op).drop("op")
+                if not some.isEmpty():
+                    use(some)
+            if not rows.where(F.col("op") == FLUSH).isEmpty():
+                store.flush()
+        finally:
+            rows.unpersist()
+
+    return log.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def running_latest(log: DataFrame) -> DataFrame:
     """Newest values of each key, for complete or update mode; each key is a row of state."""
     rest = [c for c in log.columns if c not in ("key", "seq")]

@@ -115,9 +115,10 @@ def test_store_refuses_null_keys_and_ignores_an_empty_flush(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     store.flush()
     assert store.version() == -1 and store.live().isEmpty()
-    store.put(puts(spark, 0, [(None, b"x")]))
     with pytest.raises(ValueError):
-        store.flush()
+        store.put(puts(spark, 0, [(None, b"x")]))
+    store.flush()
+    assert store.version() == -1 and Store(spark, store.path).live().isEmpty()
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -140,3 +141,140 @@ def test_late_rows_and_repeats(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 5
     rates = apply.op_rates(stream, "ts", "1 minute", "10 seconds")
     assert json.loads(rates.schema.json())["fields"][0]["name"] == "window"
+
+
+def test_crash_before_and_after_a_flush(spark, tmp_path):
+    """What was put is there for whoever opens the folder next, flushed or not; a batch cut off while written is not."""
+    store = Store(spark, str(tmp_path / "s"))
+    store.put(puts(spark, 0, [(f"k{i}".encode(), b"v") for i in range(50)]))
+    assert len(live(Store(spark, store.path))) == 50
+    store.flush()
+    store.put(puts(spark, 100, [(f"late{i}".encode(), b"v") for i in range(25)]))
+    store.delete(spark.createDataFrame([(200, b"k0"), (201, b"late0")], "seq long, key binary"))
+    (tmp_path / "s/log/000000099-000000000099").mkdir()  # without _SUCCESS
+    again = Store(spark, store.path)
+    assert len(live(again)) == 73 and again.open_count == 27
+    again.put(puts(spark, 300, [(b"k0", b"new")]))
+    assert len(live(Store(spark, store.path))) == 74
+    again.close()
+    assert len(live(Store(spark, store.path))) == 74 and Store(spark, store.path).batches == []
+
+
+def test_sizes_close_segments_and_flush(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), Settings(segment_bytes=100, memtable_bytes=400))
+    for n in range(6):
+        store.put(puts(spark, n, [(f"k{n}".encode(), b"x" * 50)]))
+    assert store.totals["wal_rotate_total"] == 2 and store.totals["flush_total"] == 1
+    assert (store.totals["put_total"], store.version(), len(store.batches)) == (6, 0, 1)
+    assert len(live(store)) == 6
+
+
+def test_asynchronous_puts_wait_for_the_next_sync(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), Settings(durability="ASYNC"))
+    store.put(puts(spark, 0, [(b"a", b"1")]))
+    assert live(store) == [(b"a", b"1")] and live(Store(spark, store.path)) == []
+    store.sync()
+    assert live(Store(spark, store.path)) == [(b"a", b"1")]
+
+
+def test_a_read_skips_runs_by_range_and_filter(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    for n in range(3):
+        store.put(puts(spark, 10 * n, [(f"{n}{c}".encode(), b"v") for c in "abc"]))
+        store.flush()
+    asked = spark.createDataFrame([(b"1a",), (b"1z",)], "key binary")
+    found_ = store.multi_get(asked)
+    assert len(found_.inputFiles()) == 1 and found(found_.where("value is not null"), "key") == [(b"1a",)]
+    import pyarrow.parquet as pq
+
+    files = [f.removeprefix("file:") for f in found_.inputFiles()]
+    where = pq.ParquetFile(files[0].replace("//", "")).metadata.row_group(0).column(2)
+    assert where.path_in_schema == "key" and where.statistics is not None
+    plan = store.get(b"1a")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(key), EqualTo(key" in plan
+
+
+def test_backups_are_stores(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), Settings(level0_trigger=2))
+    for n in range(2):
+        store.put(puts(spark, 10 * n, [(f"{n}{c}".encode(), b"v") for c in "abc"]))
+        store.flush()
+    store.compact()
+    for n in range(2, 4):
+        store.put(puts(spark, 10 * n, [(f"{n}{c}".encode(), b"v") for c in "abc"]))
+        if n == 2:
+            store.flush()
+    info = store.backup("full")
+    assert (info["total_files"], info["entries"], info["last_seq"], info["total_bytes"]) == (3, 12, 32, 12 * 11)
+    at = store.version()
+    store.put(puts(spark, 100, [(b"new", b"v")]))
+    assert store.backup("more", at)["total_files"] == 1 and store.backups() == ["full", "more"]
+    assert len(live(Store(spark, f"{store.path}/snapshots/full"))) == 12
+    assert live(Store(spark, f"{store.path}/snapshots/more")) == [(b"new", b"v")]
+    before = live(store)
+    store.vacuum()
+    assert live(store) == before and store.check() == (4, [])
+    broken = next((tmp_path / "s/runs").glob("*/*.parquet"))
+    broken.write_bytes(b"PAR1" + b"x" * 40 + b"PAR1")
+    n, bad = store.check()
+    assert n == 4 and [b.rsplit("/", 1)[1] for b in bad] == [broken.parent.name]
+
+
+def test_messages(spark):
+    from stratalog.functions import messages as m
+
+    raw = spark.createDataFrame([(5, 1, "键".encode(), b'{"a":1}'), (6, 2, b"", None), (7, 3, None, None), (8, 1, bytes(range(256)), None)], "seq long, op int, key binary, value binary")
+    got = [tuple(None if x is None else x if isinstance(x, int) else bytes(x) for x in r["c"]) for r in raw.orderBy("seq").select(m.parse_command(m.command(F.col("op"), F.col("key"), F.col("value"))).alias("c")).collect()]
+    assert got == [(1, "键".encode(), b'{"a":1}'), (2, b"", None), (3, None, None), (1, bytes(range(256)), b"null")]
+    one = raw.where("seq = 5")
+    assert bytes(one.select(m.command(F.col("op"), F.col("key"), F.col("value"))).first()[0]) == struct.pack(">bi", 1, 3) + "键".encode() + struct.pack(">i", 7) + b'{"a":1}'
+    assert bytes(one.select(m.replication(F.col("seq"), F.col("op"), F.col("key"), F.col("value"))).first()[0]) == struct.pack(">qbi", 5, 1, 3) + "键".encode() + struct.pack(">i", 7) + b'{"a":1}'
+    back = raw.where("op < 3").orderBy("seq").select(m.parse_replication(m.replication(F.col("seq"), F.col("op"), F.col("key"), F.col("value"))).alias("r")).select("r.*").collect()
+    assert [(r["seq"], r["op"], bytes(r["key"]), r["value"] and bytes(r["value"])) for r in back] == [(5, 1, "键".encode(), b'{"a":1}'), (6, 2, b"", None), (8, 1, bytes(range(256)), None)]
+    frame = bytes(one.select(m.request(F.lit(2), F.col("seq"), F.col("key"), F.col("value"))).first()[0])
+    assert frame == struct.pack(">hbbqi", 0x4B56, 1, 2, 5, 3) + "键".encode() + struct.pack(">i", 7) + b'{"a":1}'
+    cut = spark.createDataFrame([(frame[:-1],), (b"",)], "raw binary").select(m.parse_request(F.col("raw")).alias("q")).collect()
+    assert [r["q"] for r in cut] == [None, None]
+    for wrong in (b"\x00" + frame[1:], frame[:2] + b"\x02" + frame[3:]):
+        with pytest.raises(Exception, match="frame"):
+            spark.createDataFrame([(wrong,)], "raw binary").select(m.parse_request(F.col("raw"))).collect()
+    answers = spark.createDataFrame([(b"1",), (None,)], "v binary").select(m.parse_get_response(m.get_response(F.col("v"))).alias("a")).collect()
+    assert [(r["a"]["found"], r["a"]["value"] and bytes(r["a"]["value"])) for r in answers] == [(True, b"1"), (False, None)]
+    assert bytes(one.select(m.parse_get_request(m.get_request(F.col("key")))).first()[0]) == "键".encode()
+
+
+def test_line_client(spark, tmp_path):
+    import io
+
+    from stratalog import cli
+
+    out = io.StringIO()
+    cli.run(Store(spark, str(tmp_path / "s")), ["put a hello world", "get a", "get b", "del a", "get a", "put", "ping", "what", "put c 1", "exit", "put d 2"], out)
+    assert out.getvalue().splitlines() == ["OK", "hello world", "(none)", "OK", "(none)", cli.HELP, "PONG", cli.HELP, "OK"]
+    again = Store(spark, str(tmp_path / "s"))
+    assert live(again) == [(b"c", b"1")] and cli.next_seq(again) == 4
+
+
+def test_commands_of_a_stream(spark, tmp_path):
+    rows = [(1, 1, b"a", b"1"), (2, 1, b"b", b"1"), (3, 3, None, None), (4, 2, b"a", None), (5, 1, b"c", b"1")]
+    log_rows = spark.createDataFrame(rows, "seq long, op int, key binary, value binary")
+    log_rows.where("seq <= 3").coalesce(1).write.parquet(f"{tmp_path}/log")
+    store = Store(spark, str(tmp_path / "s"))
+    go = lambda: apply.apply_commands(apply.log_stream(spark, f"{tmp_path}/log", log_rows.schema), store, f"{tmp_path}/state").awaitTermination()
+    go()
+    assert store.version() == 0 and store.batches == []
+    log_rows.where("seq > 3").coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+    go()
+    assert live(store) == [(b"b", b"1"), (b"c", b"1")] and store.version() == 0
+
+
+def test_settings_are_read_anew(tmp_path):
+    from stratalog.model import Watched
+
+    heard = []
+    watched = Watched(tmp_path / "s.json", lambda old, new: heard.append((old.level0_trigger, new.level0_trigger)))
+    assert watched.current() == Settings()
+    (tmp_path / "s.json").write_text('{"level0_trigger": 7}')
+    assert watched.current().level0_trigger == 7 and heard == [(4, 7)]
+    (tmp_path / "s.json").write_text('{"level0_trigger": ')
+    assert watched.current().level0_trigger == 7
