@@ -28,13 +28,35 @@ def latency_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.cumulative(metrics.histogram(table(spark, sf_dir, "events").select("value"), F.col("value")))
 
 
+HISTOGRAM = """r AS (SELECT le, sum(n) OVER (ORDER BY le)::BIGINT AS n FROM b)
+SELECT '# HELP get_latency_ms Time of a read.' AS line UNION ALL SELECT '# TYPE get_latency_ms histogram'
+UNION ALL SELECT 'get_latency_ms_bucket{le="' || CASE WHEN isinf(le) THEN '+Inf' ELSE le::BIGINT::VARCHAR END || '"} ' || n::VARCHAR FROM r
+UNION ALL SELECT 'get_latency_ms_count ' || sum(n)::BIGINT::VARCHAR FROM b
+UNION ALL SELECT 'get_latency_ms_sum ' || (SELECT sum(floor(value))::BIGINT FROM events)::VARCHAR"""
+
+
+def scalar(name: str, about: str, kind: str, value: str) -> str:
+    return f"SELECT '# HELP {name} {about}' AS line UNION ALL SELECT '# TYPE {name} {kind}' UNION ALL SELECT '{name} ' || ({value})::VARCHAR"
+
+
+@query(f"WITH {BUCKETS}, {HISTOGRAM}")
+def metrics_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.exposition(table(spark, sf_dir, "events").select("value"), F.col("value"), "get_latency_ms")
+
+
 @query(
-    f"""WITH {BUCKETS}, r AS (SELECT le, sum(n) OVER (ORDER BY le)::BIGINT AS n FROM b)
-SELECT 'get_latency_ms_bucket{{le="' || CASE WHEN isinf(le) THEN '+Inf' ELSE le::BIGINT::VARCHAR END || '"}} ' || n::VARCHAR AS line FROM r
-UNION ALL SELECT 'get_latency_ms_count ' || sum(n)::BIGINT::VARCHAR FROM b"""
+    f"""WITH {BUCKETS}, {HISTOGRAM} UNION ALL
+{scalar("put_total", "Puts.", "counter", "SELECT count(*) FROM events WHERE event_type <> 'error'")} UNION ALL
+{scalar("delete_total", "Deletes.", "counter", "SELECT count(*) FROM events WHERE event_type = 'error'")} UNION ALL
+{scalar("wal_append_total", "Log entries.", "counter", "SELECT count(*) FROM events")} UNION ALL
+{scalar("sorted_files", "Runs of all levels.", "gauge", "SELECT count(DISTINCT event_id // 1000) FROM events")}"""
 )
-def metrics_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.exposition(metrics.histogram(table(spark, sf_dir, "events").select("value"), F.col("value")), "get_latency_ms")
+def metrics_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole page: a histogram, counters and a gauge, with what each is."""
+    rows = events(spark, sf_dir)
+    counts = metrics.counters(rows).withColumnRenamed("append_total", "wal_append_total")
+    files = rows.agg(F.count_distinct(F.floor(F.col("seq") / 1000)).alias("sorted_files"))
+    return metrics_text(spark, sf_dir).unionByName(metrics.scalars(counts, "counter")).unionByName(metrics.scalars(files, "gauge"))
 
 
 @query(f"WITH {LOG}, {NEWEST} SELECT sum(CASE WHEN op = 2 THEN length(k) + 16 ELSE length(k) + length(props) + 32 END)::BIGINT AS memtable_active_bytes, count(*) AS entries FROM newest")
