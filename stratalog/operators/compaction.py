@@ -23,11 +23,27 @@ def overlapping(manifest: DataFrame, low: Column, high: Column) -> DataFrame:
     return manifest.where(F.coalesce((F.col("max_key") >= low) & (F.col("min_key") <= high), F.lit(True)))
 
 
-def overlap_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs (left_run, right_run) of overlapping ranges. Manifests are small: a few rows a file."""
-    a = left.select(F.col("run_id").alias("left_run"), F.col("min_key").alias("left_min"), F.col("max_key").alias("left_max"))
-    b = right.select(F.col("run_id").alias("right_run"), F.col("min_key").alias("right_min"), F.col("max_key").alias("right_max"))
-    return a.join(b, (F.col("left_max") >= F.col("right_min")) & (F.col("left_min") <= F.col("right_max"))).select("left_run", "right_run")
+def overlap_pairs(left: DataFrame, right: DataFrame, cuts: int = 256) -> DataFrame:
+    """Pairs (left_run, right_run) of overlapping ranges; a missing bound matches.
+
+    The key space is cut at some of the right side's smallest keys, chosen by hash. Ranges
+    meet by an equi-join on the stretches they touch, and a pair counts in the first
+    stretch that both touch, so it comes once.
+    """
+    some = right.select("min_key").where("min_key IS NOT NULL").distinct().orderBy(F.xxhash64("min_key")).limit(cuts)
+    edges = some.agg(F.sort_array(F.collect_list("min_key")).alias("edges"))
+
+    def stretched(side: DataFrame, name: str) -> DataFrame:
+        place = lambda key: F.size(F.filter("edges", lambda e: e <= F.col(key)))
+        low = F.when(F.col("min_key").isNull(), 0).otherwise(place("min_key"))
+        high = F.when(F.col("max_key").isNull(), F.size("edges")).otherwise(place("max_key"))
+        rows = side.crossJoin(F.broadcast(edges)).withColumn("low", low).withColumn("high", F.greatest(low, high))  # one row of `cuts` keys
+        return rows.select(F.col("run_id").alias(f"{name}_run"), F.col("min_key").alias(f"{name}_min"), F.col("max_key").alias(f"{name}_max"), F.col("low").alias(f"{name}_low"), F.explode(F.sequence("low", "high")).alias("stretch"))
+
+    met = stretched(left, "left").join(stretched(right, "right"), "stretch").where(F.col("stretch") == F.greatest("left_low", "right_low"))
+    yes = F.lit(True)
+    meets = F.coalesce(F.col("left_max") >= F.col("right_min"), yes) & F.coalesce(F.col("left_min") <= F.col("right_max"), yes)
+    return met.where(meets).select("left_run", "right_run")
 
 
 def merge(runs: DataFrame, bottom: bool = False) -> DataFrame:
@@ -49,7 +65,10 @@ def compact(runs: DataFrame, manifest: DataFrame, level: int, to_run: int) -> Da
     """All runs after a level is merged into the next; what lies deeper decides whether tombstones may go."""
     target = min(level + 1, LEVELS - 1)
     source = inputs(runs, manifest, level)
-    bottom = manifest.where(F.col("level") > target).isEmpty() and source.where(F.col("level") == target).count() == runs.where(F.col("level") == target).count()
+    # the manifest tells whether anything older lies below, without a look at the runs
+    own = manifest.where(F.col("level") == level).agg(F.min("min_key"), F.max("max_key")).first()
+    deeper = manifest.where(F.col("level") >= target).join(overlapping(manifest.where(F.col("level") == target), F.lit(own[0]), F.lit(own[1])).select("level", "run_id"), ["level", "run_id"], "left_anti")
+    bottom = deeper.isEmpty()
     merged = merge(source.drop("level", "run_id"), bottom)
     merged = merged.withColumn("level", F.lit(target)).withColumn("run_id", F.lit(to_run).cast("long"))
     rest = runs.join(source.select("level", "run_id").distinct(), ["level", "run_id"], "left_anti")
@@ -62,5 +81,8 @@ def file_bytes(value: Column) -> Column:
 
 def file_count(run: DataFrame, value: Column, settings: Settings = Settings()) -> int:
     """Files of about the target size."""
-    total = run.agg(F.sum(file_bytes(value))).first()[0] or 0
-    return max(1, -(-total // settings.file_bytes))
+    return run.agg(files_of(F.coalesce(F.sum(file_bytes(value)), F.lit(0)), settings.file_bytes)).first()[0]
+
+
+def files_of(size: Column, target: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(size / target)).cast("long")

@@ -14,10 +14,11 @@ def compaction_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compaction.due(runs.level_stats(manifest(spark, sf_dir)))
 
 
-@query("WITH z AS (SELECT l_suppkey AS r, min(l_orderkey) AS a, max(l_orderkey) AS b FROM lineitem WHERE l_suppkey <= 40 GROUP BY l_suppkey) SELECT x.r AS left_run, y.r AS right_run FROM z x JOIN z y ON x.b >= y.a AND x.a <= y.b WHERE x.r <= 15 AND y.r > 15")
+@query("WITH z AS (SELECT l_suppkey AS r, min(l_orderkey) AS a, max(l_orderkey) AS b FROM lineitem GROUP BY l_suppkey) SELECT x.r AS left_run, y.r AS right_run FROM z x JOIN z y ON x.b >= y.a AND x.a <= y.b WHERE x.r % 4 = 0 AND y.r % 4 <> 0")
 def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    zones = runs.zone_map(table(spark, sf_dir, "lineitem").where("l_suppkey <= 40").select(F.col("l_suppkey").alias("run_id"), "l_orderkey"), ("run_id",), "l_orderkey")
-    return compaction.overlap_pairs(zones.where("run_id <= 15"), zones.where("run_id > 15"))
+    """All runs: every fourth lies on the upper level, the others below."""
+    zones = runs.zone_map(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("run_id"), "l_orderkey"), ("run_id",), "l_orderkey")
+    return compaction.overlap_pairs(zones.where("run_id % 4 = 0"), zones.where("run_id % 4 <> 0"))
 
 
 @query("WITH z AS (SELECT l_suppkey AS r, min(l_orderkey) AS a, max(l_orderkey) AS b FROM lineitem GROUP BY l_suppkey) SELECT x.r AS run_id, count(y.r) AS overlaps FROM z x LEFT JOIN z y ON x.b >= y.a AND x.a <= y.b AND x.r <> y.r GROUP BY x.r")
@@ -53,6 +54,13 @@ def file_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_runs(spark, sf_dir, "props").groupBy("level", "run_id").agg(F.sum(compaction.file_bytes(F.encode("props", "UTF-8"))).alias("bytes"))
 
 
+@query(f"WITH {LOG}, {RUNS} SELECT level, run_id, greatest(1, ceil(sum(length(k) + length(props) + 8) / 500.0))::BIGINT AS files FROM runs GROUP BY level, run_id")
+def file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that each run is cut into, at a target of 500 bytes."""
+    sizes = file_sizes(spark, sf_dir)
+    return sizes.select("level", "run_id", compaction.files_of(F.col("bytes"), 500).alias("files"))
+
+
 @query(f"WITH {LOG}, {NEWEST} SELECT count(*) AS entries, 0::BIGINT AS overlaps FROM newest")
 def split_ranges_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A merged run is cut by range: no key lies in two files' ranges."""

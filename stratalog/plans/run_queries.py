@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions.codecs import text, utf8
 from ..operators import runs, snapshots
+from ..sources import sorted_file
 from .inputs import LOG, MANIFEST, RUNS, event_runs, manifest, table
 
 @query(f"WITH {LOG}, {RUNS}, {MANIFEST} SELECT level, run_id, min_key, max_key, entries FROM manifest")
@@ -58,11 +59,16 @@ def key_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select(text(F.col("x.key")).alias("k"), (F.col("i") + 1).cast("long").alias("nth"))
 
 
-@query("SELECT count(*) AS total_files, count(*) FILTER (WHERE bad > 0) AS corrupted_files FROM (SELECT o_custkey % 50 AS f, count(*) FILTER (WHERE o_totalprice > 390000) AS bad FROM orders GROUP BY o_custkey % 50)")
+@query("SELECT count(*) AS total_files, count(*) FILTER (WHERE f % 5 = 0) AS corrupted_files, string_agg(f::VARCHAR, ',' ORDER BY f) FILTER (WHERE f % 5 = 0) AS paths FROM (SELECT DISTINCT o_custkey % 50 AS f FROM orders)")
 def integrity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files that hold an entry marked as damaged."""
-    rows = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 50).alias("path")).agg((F.count_if(F.col("o_totalprice") > 390000) == 0).alias("intact"))
-    return snapshots.summary(rows)
+    """Sorted files of all orders, every fifth damaged in its footer; the check parses each and names the bad ones."""
+    rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("f"), utf8(F.col("o_orderkey").cast("string")).alias("key"), F.lit(b"x").alias("value"))
+    made = sorted_file.contents(rows, "f")
+    cut = F.expr("substring(content, 1, cast(octet_length(content) - 8 as int))")
+    made = made.withColumn("content", F.when(F.col("f") % 5 == 0, F.concat(cut, F.lit(b"\x7f" * 8))).otherwise(F.col("content")))
+    checked = sorted_file.checked(made.withColumnRenamed("f", "path"))
+    bad = F.sort_array(F.collect_list(F.when(~F.col("intact"), F.col("path"))))
+    return checked.agg(F.count("*").alias("total_files"), F.count_if(~F.col("intact")).alias("corrupted_files"), F.array_join(F.transform(bad, lambda p: p.cast("string")), ",").alias("paths"))
 
 
 @query(f"WITH {LOG}, {RUNS} SELECT level, run_id, count(*) AS entries, count(*) FILTER (WHERE NOT (length(k) BETWEEN 0 AND 10000000)) AS damaged FROM runs GROUP BY level, run_id")

@@ -65,6 +65,11 @@ def read(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 def contents(log: DataFrame, by: str, order: str = "seq") -> DataFrame:
-    """(by, content): the log file of each segment; a segment is a file and is built in one task."""
-    records = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), log_record(F.col("op"), F.col("key"), F.col("value")).alias("r"))))
-    return log.groupBy(by).agg(F.concat(F.lit(bytearray(MARK)), F.aggregate(records, F.lit(bytearray()), lambda a, x: F.concat(a, x["r"]))).alias("content"))
+    """(by, content): the log file of each segment; a segment is a file and is built in one task.
+
+    Records are joined as text of one byte a character, in one go: no record copies those before it.
+    """
+    record = F.decode(log_record(F.col("op"), F.col("key"), F.col("value")), "ISO-8859-1")
+    records = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), record.alias("r"))))
+    joined = F.array_join(F.transform(records, lambda x: x["r"]), "")
+    return log.groupBy(by).agg(F.concat(F.lit(bytearray(MARK)), F.encode(joined, "ISO-8859-1")).alias("content"))

@@ -73,6 +73,25 @@ def read(spark: SparkSession, path: str, pattern: str = "*.sst") -> DataFrame:
     return files(spark, path, pattern).select("path", "content").mapInArrow(run, "path string, key binary, value binary, intact boolean")
 
 
+def checked(made: DataFrame) -> DataFrame:
+    """(path, intact) of (path, content): a file is intact if its index and all its entries can be read."""
+    kind = made.schema["path"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for raw in batch.column(1).to_pylist():
+                try:
+                    parse(raw)
+                    good.append(True)
+                except ValueError:
+                    good.append(False)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(good)], names=["path", "intact"])
+
+    ship(made.sparkSession)
+    return made.select("path", "content").mapInArrow(run, f"path {kind}, intact boolean")
+
+
 def contents(rows: DataFrame, by: str) -> DataFrame:
     """(by, content): the sorted file of each group of (by, key, value); a group is a file and is built in one task."""
 

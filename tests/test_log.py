@@ -85,8 +85,10 @@ def test_rejected_rows(spark):
     rows = spark.createDataFrame([(1, 1, A), (2, 9, A), (None, 1, A), (4, 1, None), (5, None, A)], "seq long, op int, key binary")
     good, bad = checked(rows)
     assert (good.count(), bad.count()) == (1, 4)
-    with pytest.raises(Exception, match="unknown op 9"):
-        rows.select(op_code(F.col("op"))).collect()
+    for some, said in ((rows.where("op = 9"), "unknown op 9"), (rows.where("op IS NULL"), "unknown op null")):
+        with pytest.raises(Exception, match=said):
+            some.select(op_code(F.col("op"))).collect()
+    assert rows.where("op = 1").select(op_code(F.col("op"))).count() == 3
 
 
 def test_sizes(spark):
@@ -129,8 +131,25 @@ def test_histogram(spark):
     n = {r["le"]: r["n"] for r in metrics.histogram(rows, F.col("v")).collect()}
     assert (len(n), n[1.0], n[25.0], n[1000.0], n[float("inf")]) == (10, 1, 0, 1, 1)
     assert metrics.cumulative(metrics.histogram(rows, F.col("v"))).where("le = 1000").first()["n"] == 5
-    lines = [r["line"] for r in metrics.exposition(metrics.histogram(rows, F.col("v")), "x").collect()]
-    assert 'x_bucket{le="+Inf"} 6' in lines and "x_count 6" in lines
+    lines = [r["line"] for r in metrics.exposition(rows, F.col("v"), "x", "Some.").collect()]
+    assert lines[:2] == ["# HELP x Some.", "# TYPE x histogram"] and lines[-3:] == ['x_bucket{le="+Inf"} 6', "x_count 6", "x_sum 6116"]
+    five = [r["line"] for r in metrics.exposition(rows.where("v <= 1000"), F.col("v"), "x", "Some.").collect()]
+    assert five[-2:] == ["x_count 5", "x_sum 1116"]
+    assert metrics.exposition(rows.where("false"), F.col("v"), "x", "Some.").collect()[-1]["line"] == "x_sum 0"
+    one = spark.createDataFrame([(3, None)], "put_total long, get_total long")
+    assert [r["line"] for r in metrics.scalars(one, "counter").collect()][2:] == ["put_total 3", "# HELP get_total Reads.", "# TYPE get_total counter", "get_total 0"]
+
+
+def test_overlaps_with_missing_bounds(spark):
+    """A missing bound matches; each pair comes once, whatever the cuts."""
+    rows = [(1, 5, 9), (2, 9, 20), (3, 10, 11), (4, None, 4), (5, 4, None), (6, None, None), (7, 30, 40)]
+    some = spark.createDataFrame(rows, "run_id long, min_key int, max_key int")
+    meets = lambda a, b: (a[2] is None or b[1] is None or a[2] >= b[1]) and (a[1] is None or b[2] is None or a[1] <= b[2])
+    expected = sorted((a[0], b[0]) for a in rows for b in rows if meets(a, b))
+    for cuts in (1, 3, 64):
+        pairs = compaction.overlap_pairs(some, some, cuts)
+        assert sorted(map(tuple, pairs.collect())) == expected
+        assert "Join [stretch" in pairs._jdf.queryExecution().executedPlan().toString()
 
 
 def test_structural_check(spark):
