@@ -2,14 +2,13 @@
 
 Sources by code point (null last) weigh 1, 2, 3, repeating, and share all words of
 the corpus; a target stops at EPOCHS times its source's words, and the excess is
-shared again by weight. Documents get hash-random keys; a source's are dealt by key
-range into buckets, whose word totals are summed up in order, so only the bucket
+shared again by weight. Documents get hash-random keys, of doc_id and text, so rows that
+share a doc_id don't share a key; a source's are dealt by key range into buckets, whose word totals are summed up in order, so only the bucket
 that holds the cut is sorted. A source gives whole epochs, then its documents in key
 order up to the exact budget; the document at the cut gives its first words.
 
-Null text has size 0 and gives nothing. A null doc_id has the key of empty text.
-Rows with equal doc_id are taken in order of size and text; rows that are equal
-altogether are interchangeable. An empty table gives none. A column named like a
+Null text has size 0 and gives nothing. A null doc_id or text counts as empty in the
+key. Rows that agree in doc_id and text are interchangeable. An empty table gives none. A column named like a
 result is replaced.
 """
 
@@ -45,9 +44,10 @@ def targets(sizes: DataFrame, epochs: int = EPOCHS) -> DataFrame:
 def mix(docs: DataFrame, epochs: int = EPOCHS, seed: str = "") -> DataFrame:
     """docs with size, source_size, target (both of the source) and taken (words, repeats counted)."""
     docs = docs.drop("size", "source_size", "target", "taken")
-    bits = min(20, max(4, (docs.count() // BUCKET).bit_length()))
-    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)).cast("binary"))
-    bucket = F.shiftright(F.conv(F.substring("__key", 1, 5), 16, 10).cast("int"), 20 - bits)
+    bits = min(28, max(4, (docs.count() // BUCKET).bit_length()))
+    empty = F.lit("")
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), empty), F.lit(":"), F.coalesce("text", empty), F.lit(seed)).cast("binary"))
+    bucket = F.shiftright(F.conv(F.substring("__key", 1, 7), 16, 10).cast("int"), 28 - bits)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     keyed = docs.withColumn("__key", key).withColumn("__bucket", bucket).withColumn("size", size)
     totals = stored(keyed.groupBy("source", "__bucket").agg(F.sum("size").alias("words")), "mixing")
@@ -63,7 +63,7 @@ def mix(docs: DataFrame, epochs: int = EPOCHS, seed: str = "") -> DataFrame:
     joined = keyed.join(cut, F.col("source").eqNullSafe(F.col("__source")))
     at_edge = F.col("__bucket").eqNullSafe(F.col("__edge"))
     inner = joined.where(~at_edge).withColumn("taken", F.col("size") * (F.col("__whole") + F.when(F.col("__bucket") < F.col("__edge"), 1).otherwise(0)))
-    order = Window.partitionBy("source").orderBy("__key", "size", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("source").orderBy("__key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     room = F.col("__rest") - F.col("__before") - (F.sum("size").over(order) - F.col("size"))
     outer = joined.where(at_edge).withColumn("taken", F.col("size") * F.col("__whole") + F.greatest(F.lit(0), F.least(F.col("size"), room)))
     return inner.unionByName(outer).select(*docs.columns, "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
@@ -90,7 +90,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH sized AS (
-  SELECT doc_id, source, text, md5(coalesce(doc_id::VARCHAR, '')) AS k,
+  SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS k,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM sums),
@@ -104,7 +104,7 @@ cuts AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS whole FROM goals),
 placed AS (
   SELECT s.doc_id, s.size, c.source_size, c.target, c.whole, floor(c.target)::BIGINT - c.whole * c.source_size AS rest,
-         sum(s.size) OVER (PARTITION BY s.source ORDER BY s.k, s.size, s.text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - s.size AS before
+         sum(s.size) OVER (PARTITION BY s.source ORDER BY s.k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - s.size AS before
   FROM sized s JOIN cuts c ON s.source IS NOT DISTINCT FROM c.source)
 SELECT doc_id, size, source_size, target, (size * whole + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM placed
 """
