@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one is set only where none is (tests)."""
+    """The folder of spark.checkpoint.dir; in local mode a temporary one is set where none is (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='stratalog-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -37,6 +39,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes what `stored` wrote for df; nothing may read it any more."""
+    path = df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else None
+    if path:
+        to = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        to.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(to, True)
+
+
 def parted(df: DataFrame, name: str, size: int) -> DataFrame:
     """df, of columns part and kind, written to the shared folder in at least `size` buckets of part and read again.
 

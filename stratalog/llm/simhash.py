@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import dropped, stored, table
 
 SEED = 42
 WORDS = 3
@@ -161,7 +161,7 @@ def links(distinct: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(prints[at : at + 20_000][row])], names=["k", "print"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_k, kept = np.empty(0, np.int64), np.empty(0, np.uint64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # rows of the key that the last batch ended in
 
         def runs(k: np.ndarray, x: np.ndarray) -> pa.RecordBatch | None:
             if len(k) < 2:
@@ -183,13 +183,19 @@ def links(distinct: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"]) if len(pairs) else None
 
         for batch in batches:
-            k = np.concatenate([kept_k, batch.column(0).to_numpy()])
-            x = np.concatenate([kept, batch.column(1).to_numpy().view(np.uint64)])
-            cut = int(np.searchsorted(k, k[-1])) if len(k) else 0
-            if out := runs(k[:cut], x[:cut]):
+            k, x = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            if not len(k):
+                continue
+            cut = int(np.searchsorted(k, k[-1]))
+            if held and (cut or held[-1][0][0] != k[0]):  # the former key has ended
+                out = runs(*(np.concatenate(p) for p in zip(*held, (k[:cut], x[:cut]), strict=True)))
+                held = []
+            else:
+                out = runs(k[:cut], x[:cut])
+            if out:
                 yield out
-            kept_k, kept = k[cut:], x[cut:]
-        if out := runs(kept_k, kept):
+            held.append((k[cut:], x[cut:]))
+        if held and (out := runs(*(np.concatenate(p) for p in zip(*held, strict=True)))):
             yield out
 
     keyed = distinct.select("print").mapInArrow(make, "k long, print long")
@@ -209,7 +215,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), name)
+        last, edges = edges, stored(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), name)
+        dropped(last)
 
 
 def rooted(nodes: DataFrame) -> DataFrame:
