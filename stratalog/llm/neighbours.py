@@ -2,21 +2,23 @@
 
 Vectors are scaled by the largest norm and lifted to the unit sphere by one more
 component, where the nearest by distance are the largest by inner product. Centroids
-come from balanced k-means on a bounded sample; every vector is indexed: in the list of
+come from balanced k-means, in two levels where there are many, on a bounded sample, one
+for each LIST vectors of the table; every vector is indexed: in the list of
 its nearest centroid and, near a boundary, in further ones (up to REPLICAS, none closer
 to a chosen centroid than to the vector). Centroids are searched by best-first
 search on a neighbour graph held in memory. A query reads those of the lists found whose
 centroids are within a ratio of its nearest one's distance. The ratio is the smallest that
 reaches RECALL on the sample by this same search; where none does, the search is widened,
-to all lists if need be. Lists and their queries are cut into blocks of bounded size,
+to all lists if need be. The graph lies in memory, so centroids are bounded by LISTS: beyond
+LIST * LISTS vectors lists grow longer instead. Lists and their queries are cut into blocks of bounded size,
 which meet by a join on list and block, whatever a list's length.
 
 Equal vectors are indexed once, with their smallest ids. Scores are recomputed in double
 precision on the vectors as given, summed in one fixed order, so ties are exact.
 
-No part take: null ids, vectors null, zero, with null or non-finite components, or of
-another length than the most frequent (the smaller one in a tie). Rows with equal id
-and vector count once. An empty table gives none. Further columns are ignored.
+No part take: null ids, vectors null, zero, or with null or non-finite components.
+Vectors of different lengths have no inner product: each length is searched by itself.
+Rows with equal id and vector count once. An empty table gives none. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,27 +34,33 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 K = 20
-#: Vectors and bytes that the centroids are fitted on.
-SAMPLE, SAMPLE_BYTES = 20_000, 64_000_000
-#: Vectors a list, about; lists at most.
-LIST, LISTS = 128, 4096
+#: Vectors and bytes (8 a component) that the centroids are fitted on: SAMPLE, or SPREAD a list where that is more.
+SAMPLE, SPREAD, SAMPLE_BYTES = 20_000, 4, 134_000_000
+#: Vectors a list, about; lists at most; lists up to which one level of k-means is enough.
+LIST, LISTS, FLAT = 128, 65_536, 1024
 #: Centroids linked to each centroid, and followed in a search.
 LINKS, BEAM = 24, 48
 REPLICAS, BOUNDARY = 4, 1.15
-RECALL, RATIOS = 0.98, [1.0 + 0.05 * i for i in range(1, 41)]
+RECALL, RATIOS = 0.95, [1.0 + 0.01 * i for i in range(1, 201)]
 #: Vectors and queries of a block.
 BLOCK = 4096
+#: Cells of the tables that a search keeps of rows by centroids, and of a table of scores.
+CELLS, SCORES = 1 << 25, 1 << 23
 
 
-def valid(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """(vec_id, v) of the vectors that take part, and their length."""
+def step(lists: int) -> int:
+    """Rows searched together."""
+    return max(64, min(2048, CELLS // max(lists, 1)))
+
+
+def valid(vectors: DataFrame) -> tuple[DataFrame, list[int]]:
+    """(vec_id, v) of the vectors that take part, and their lengths."""
     sized = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v")).where("vec_id is not null and v is not null")
     if "array<float>" not in dict(sized.dtypes)["v"]:
         sized = sized.withColumn("v", F.col("v").cast("array<double>"))
     fine = F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    length = sized.groupBy(F.size("v").alias("n")).count().orderBy(F.col("count").desc(), "n").first()
-    n = length["n"] if length else 0
-    return sized.where((F.size("v") == n) & fine), n
+    taking = sized.where(fine)
+    return taking, sorted(r[0] for r in taking.select(F.size("v")).distinct().collect())  # one row a length
 
 
 def lift(v: np.ndarray, largest: float) -> np.ndarray:
@@ -83,15 +91,28 @@ def balanced(x: np.ndarray, k: int) -> np.ndarray:
     return c.astype(np.float32)
 
 
+def centroids(x: np.ndarray, k: int) -> np.ndarray:
+    """k unit centroids: outright, or within the clusters of a coarser level, each with its share."""
+    if k <= FLAT:
+        return balanced(x, k)
+    coarse = balanced(x, int(np.ceil(np.sqrt(k))))
+    own = np.concatenate([(x[i : i + 4096] @ coarse.T).argmax(1) for i in range(0, len(x), 4096)])
+    ends = np.round(np.cumsum(np.bincount(own, minlength=len(coarse))) * (k / len(x))).astype(int)
+    return np.concatenate([balanced(x[own == j], min(n, int((own == j).sum()))) for j, n in enumerate(np.diff(ends, prepend=0)) if n])
+
+
 def graph(c: np.ndarray) -> np.ndarray:
     """Of each centroid, its nearest ones and a few random ones."""
     random, n = np.random.default_rng(1), len(c)
     near = min(LINKS - 4, n - 1)
     if near < 1:
         return np.zeros((n, 1), np.int64)
-    d = c @ c.T
-    np.fill_diagonal(d, -9)
-    return np.concatenate([np.argpartition(-d, near - 1, axis=1)[:, :near], random.integers(0, n, (n, 4))], 1)
+    found = []
+    for at in range(0, n, rows := max(1, SCORES // n)):
+        d = c[at : at + rows] @ c.T
+        d[np.arange(len(d)), at + np.arange(len(d))] = -9
+        found.append(np.argpartition(-d, near - 1, axis=1)[:, :near])
+    return np.concatenate([np.concatenate(found), random.integers(0, n, (n, 4))], 1)
 
 
 def walk(x: np.ndarray, c: np.ndarray, g: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
@@ -151,21 +172,33 @@ def calibrated(x: np.ndarray, some: np.ndarray, q: np.ndarray, c: np.ndarray, g:
 
     q: the rows `some` of the sample as queries; none counts as its own neighbour.
     """
-    member = np.zeros((len(x), len(c)), bool)
-    for at in range(0, len(x), 2048):
-        row, of = homes(*walk(x[at : at + 2048], c, g), c)
-        member[row + at, of] = True
-    score = q @ x.T
-    score[np.arange(len(q)), some] = -np.inf
-    best = np.argsort(-score, axis=1)[:, : min(K, len(x) - 1)]
-    for beam in (BEAM, 2 * BEAM, 4 * BEAM, len(c)):
-        beam = min(beam, len(c))
-        ids, d = walk(q, c, g, beam)
-        away = np.full((len(q), len(c)), np.inf)
-        np.put_along_axis(away, ids, d / np.maximum(d[:, :1], 1e-30), 1)
-        needed = np.stack([np.where(member[b], a, np.inf).min(1) for a, b in zip(away, best, strict=True)])
+    k, nearest = min(K, len(x) - 1), []
+    for at in range(0, len(q), rows := max(1, SCORES // len(x))):
+        score = q[at : at + rows] @ x.T
+        score[np.arange(len(score)), some[at : at + rows]] = -np.inf
+        nearest.append(np.argsort(-score, axis=1)[:, :k])
+    best = np.concatenate(nearest)
+    if not best.size:
+        return RATIOS[0], min(BEAM, len(c))
+    # the lists of those that are to be found
+    points = np.unique(best)
+    lists = np.full((len(points), REPLICAS), -1, np.int64)
+    for at in range(0, len(points), rows := step(len(c))):
+        row, of = homes(*walk(x[points[at : at + rows]], c, g), c)
+        nth = np.arange(len(row)) - np.searchsorted(row, row)
+        lists[at + row, nth] = of
+    where = np.searchsorted(points, best)
+    for beam in sorted({min(b, len(c)) for b in (BEAM, 2 * BEAM, 4 * BEAM, 16 * BEAM, len(c))}):
+        needed = []
+        for at in range(0, len(q), rows := step(len(c))):
+            ids, d = walk(q[at : at + rows], c, g, beam)
+            away = np.full((len(ids), len(c) + 1), np.inf)  # the last column: no list
+            np.put_along_axis(away, ids, d / np.maximum(d[:, :1], 1e-30), 1)
+            homes_of = lists[where[at : at + rows]]
+            needed.append(np.take_along_axis(away, homes_of.reshape(len(ids), -1) % (len(c) + 1), 1).reshape(homes_of.shape).min(2))
+        needed = np.concatenate(needed)
         for ratio in RATIOS:
-            if not needed.size or (needed <= ratio).mean() >= RECALL:
+            if (needed <= ratio).mean() >= RECALL:
                 return ratio, beam
     return float("inf"), len(c)
 
@@ -176,8 +209,16 @@ def matrix(column: pa.Array, n: int) -> np.ndarray:
 
 def search(vectors: DataFrame, queries: Column, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score) of (vec_id, embedding); queries: a condition on vec_id."""
-    spark = vectors.sparkSession
-    rows, dim = valid(vectors)
+    rows, lengths = valid(vectors)
+    found = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for dim in lengths:
+        found = found.unionByName(search_length(rows.where(F.size("v") == dim), dim, queries, k)) if len(lengths) > 1 else search_length(rows, dim, queries, k)
+    return found
+
+
+def search_length(rows: DataFrame, dim: int, queries: Column, k: int) -> DataFrame:
+    """search among (vec_id, v) of one length."""
+    spark = rows.sparkSession
     rows = stored(rows, "vectors")
     order = F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))
     points = rows.withColumn("nth", order).where(F.col("nth") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
@@ -187,13 +228,13 @@ def search(vectors: DataFrame, queries: Column, k: int = K) -> DataFrame:
     result = "query_id long, rank int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], result)
-    most = max(64, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
+    most = max(64, min(max(SAMPLE, SPREAD * min(LISTS, n // LIST)), SAMPLE_BYTES // (8 * dim)))
     chance = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) / float(1 << 30)
     sample = points.where(chance <= 1.3 * most / n).orderBy(chance, "id").limit(most).select("v").toArrow()
     raw = matrix(sample.column("v").combine_chunks(), dim)
     x = lift(raw, largest)
-    lists = int(min(LISTS, max(1, n // LIST), max(1, len(x) // 4)))
-    c = balanced(x, lists)
+    c = centroids(x, int(min(LISTS, max(1, n // LIST), max(1, len(x) // SPREAD))))
+    lists = len(c)
     g = graph(c)
     some = np.linspace(0, len(x) - 1, min(len(x), 400)).astype(int)
     model = spark.sparkContext.broadcast((c, g, largest, *calibrated(x, some, unit(raw[some]), c, g)))  # LISTS centroids at most
@@ -201,8 +242,8 @@ def search(vectors: DataFrame, queries: Column, k: int = K) -> DataFrame:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, g, largest, _, _ = model.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, step(len(c))):
+                part = batch.slice(at, step(len(c)))
                 row, of = homes(*walk(lift(matrix(part.column("v"), dim), largest), c, g), c)
                 first = np.concatenate([[True], row[1:] != row[:-1]])
                 yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(first), *(part.column(i).take(pa.array(row)) for i in range(3))], names=["list", "first", "id", "v", "ids"])
@@ -217,8 +258,8 @@ def search(vectors: DataFrame, queries: Column, k: int = K) -> DataFrame:
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, g, _, ratio, beam = model.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, step(len(c))):
+                part = batch.slice(at, step(len(c)))
                 q = unit(matrix(part.column("v"), dim))
                 ids, d = walk(q, c, g, beam)
                 if (own_.value[ids].sum(1) < k + 1).any():

@@ -27,7 +27,7 @@ def answers(df) -> dict[int, list[tuple[float, int]]]:
 
 
 def test_edges(spark, folder):
-    """Few rows: the answer is exact. No part take null ids, null, zero, odd, non-finite vectors; equal vectors tie by id."""
+    """Few rows: the answer is exact. No part take null ids, null, zero, non-finite vectors; other lengths meet their own; equal vectors tie by id."""
     rng = np.random.default_rng(0)
     good = {i: rng.normal(size=4).astype(np.float32) for i in range(30)}
     good[60] = good[7].copy()
@@ -36,9 +36,10 @@ def test_edges(spark, folder):
     good[62] = -good[20]
     good[63] = good[5] * 100
     rows = [(i, v.tolist(), None) for i, v in good.items()]
-    rows += [(None, [1.0, 2.0, 3.0, 4.0], 1), (40, None, 1), (80, [0.0] * 4, 1), (81, [1.0, None, 1.0, 1.0], 1), (82, [1.0, float("nan"), 1.0, 1.0], 1), (100, [float("inf"), 1.0, 1.0, 1.0], 1), (83, [1.0], 1), (84, [], 1), (20, good[20].tolist(), 1)]
+    rows += [(None, [1.0, 2.0, 3.0, 4.0], 1), (40, None, 1), (80, [0.0] * 4, 1), (81, [1.0, None, 1.0, 1.0], 1), (82, [1.0, float("nan"), 1.0, 1.0], 1), (100, [float("inf"), 1.0, 1.0, 1.0], 1), (83, [1.0], 1), (84, [], 1), (120, [2.0, 0.0], 1), (121, [1.0, 1.0], 1), (122, [3.0, 5.0], 1), (140, [1.0, 2.0, 3.0], 1), (20, good[20].tolist(), 1)]
     got = answers(neighbours.op3_neighbours(spark, folder(embeddings=(rows, VECTORS))))
-    assert set(got) == {0, 20, 60}
+    assert set(got) == {0, 20, 60, 120}
+    assert got.pop(120) == [(-6.0, 122), (-2.0, 121)]
     for q, found in got.items():
         assert [i for _, i in found] == [i for _, i in exact(good, q)]
         assert [s for s, _ in found] == pytest.approx([s for s, _ in exact(good, q)], rel=1e-12)
@@ -96,3 +97,23 @@ def test_recall_on_the_driver_s_vectors(spark):
         hits.append(len({i for _, i in v} & {i for _, i in best}) / len(best))
         assert [s for s, _ in v] == pytest.approx([-float((held[i].astype(np.float64) * held[q].astype(np.float64)).sum()) for _, i in v], rel=1e-12)
     assert len(hits) == sum(i % 20 == 0 for i in held) and np.mean(hits) >= 0.9
+
+
+@pytest.mark.parametrize("n", [12_000, 40_000])
+def test_share_of_lists_read(n):
+    """Of clustered vectors as embeddings are, a query reads less than a third of the lists at the aimed recall; two levels of centroids from 1,024 lists on."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(n // 100, 64))
+    x = centres[rng.integers(0, len(centres), n)] + 0.6 * rng.normal(size=(n, 64))
+    x = x.astype(np.float32)
+    lifted = neighbours.lift(x, float(np.sqrt((x.astype(np.float64) ** 2).sum(1).max())))
+    c = neighbours.centroids(lifted, n // (128 if n < 20_000 else 32))
+    g = neighbours.graph(c)
+    some = np.linspace(0, n - 1, 300).astype(int)
+    q = neighbours.unit(x[some])
+    ratio, beam = neighbours.calibrated(lifted, some, q, c, g)
+    ids, d = neighbours.walk(q, c, g, beam)
+    share = (d <= ratio * d[:, :1]).sum(1).mean() / len(c)
+    print(f"{n} vectors, {len(c)} lists: ratio {ratio:.2f}, beam {beam}, share of lists read {share:.3f}")
+    assert len(c) >= n // 150 and share < 1 / 3
+    assert np.allclose(np.sqrt((c * c).sum(1)), 1, atol=1e-3)
