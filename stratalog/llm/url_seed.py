@@ -1,168 +1,57 @@
-"""A small table of invented URLs by kind, all under names reserved for documentation: what the filter is trained on."""
+"""A small labelled table of invented URLs, made by a rule from words by topic, under names reserved for documentation.
 
-BLOCKED = """
-casino-royal.example/slots/12
-best-casino.test/en/bonus
-www.casino-spins.example/en/44
-online-casino-win.test/fr/9
-win-big-casino.example/de/play
-lucky-casino.test/register?x=1
-free-bets-now.example/en/10
-sport-bets.test/es/odds
-bets-and-odds.example/fr/3
-m.live-bets.test/de/55
-free-spins.example/en/7
-freebets.test/promo/1
-bet-win.example/en/71
-slots-jackpot.test/en/2
-jackpot-win.example/es/jackpot
-poker-win.test/en/table/9
-roulette-free.example/fr/12
-cheap-pills-online.test/en/order
-pills-discount.example/de/3
-cheap-meds.test/fr/buy
-buy-pills.example/en/viagra
-pharmacy-cheap.test/es/pills
-no-prescription-pills.example/en/1
-diet-pills.test/en/5
-cheap-viagra.example/en/98
-cheap-replica-watches.test/en/6
-replica-bags.example/fr/cheap
-spam-links.test/en/1
-link-farm.example/en/200
-spamfarm.test/de/8
-seo-spam.example/en/links
-content-farm.test/en/4
-www.farm-links.example/es/77
-spam-blog.test/fr/5
-payday-loans-fast.example/en/apply
-fast-cash-loan.test/en/3
-instant-loans.example/es/1
-free-money-win.test/en/9
-get-rich-quick.example/en/now
-win-free-phone.test/en/prize
-free-prize.example/de/claim
-lottery-winner.test/fr/claim
-xxx-videos.example/en/5
-hot-adult-cams.test/en/live
-free-porn.example/de/33
-adult-dating.test/en/9
-sexy-cams.example/fr/2
-warez-crack.test/en/download
-keygen-crack.example/en/serial
-free-torrents-crack.test/de/get
-malware-download.example/en/setup.exe
-account-verify-login.test/en/secure
-bank-login-update.example/en/verify
-cheap-followers.test/en/buy
-buy-likes-cheap.example/en/1
-ads-server.example/en/serve
-www.ads-tracker.test/click/9
-track-clicks.example/de/ads
-ad-tracking.test/en/track
-adult-videos.test/fr/8
-x-adult.example/en/x
+Each topic's words are set into a few forms of host and path, chosen by a checksum, so no
+form tells the label. Every fifth word of a topic is held out: its URLs are for measuring only.
 """
 
-ALLOWED = """
-www.history-museum.example/en/collection/12
-library.test/catalogue/44
-blog.kitchen-garden.example/en/tomato-soup
-news.morning-post.test/en/2019/local
-docs.project.example/en/guide/install
-www.university.test/de/forschung
-physics.institute.example/papers/101
-m.weather-today.test/fr/paris
-recipes.example/es/sopa
-travel-notes.test/en/305
-forum.gardeners.example/en/thread/88
-www.cityhall.test/fr/services
-astronomy.example/en/610
-wiki.open-maps.test/en/rivers
-blog.thorne.example/en/71
-anderson.test/de/225
-www.therapy-centre.example/en/contact
-m.ontario-trails.test/en/19
-shop.bookstore.example/fr/livres/9
-music-school.test/es/clases
-blog.rereading.example/en/553
-heathland.test/en/342
-www.stonehouse.example/en/814
-erinsong.test/fr/60
-tinsmith.example/de/77
-www.northern-line.test/en/408
-blog.marathon-club.example/en/92
-theatre.test/en/250
-m.thistle.example/es/31
-www.interior.test/fr/17
-blog.bridges.example/en/640
-archive.papers.test/en/1907/7
-www.health-service.example/en/advice/cold
-school.test/de/kinder
-gallery.example/en/paintings/42
-www.railway.test/en/timetable
-law-review.example/en/volume/3
-statistics.test/en/table/500
-blog.thunder.example/en/730
-reading-list.test/en/36
-www.hanover.example/de/890
-m.edinburgh.test/en/15
-blog.sharing.example/fr/27
-orienteering.test/es/704
-www.hearthstone.example/en/3
-code.compiler.test/en/manual
-blog.leather-work.example/en/118
-nutrition.test/en/vitamins
-www.atlas.example/fr/cartes/9
-birds.test/en/index.html
-blog.tending.example/en/66
-www.threshold.test/de/147
-m.island.example/en/933
-anthem.test/es/201
-www.stationery.example/fr/589
-www.relationship-advice.example/en/12
-nation-builder.test/de/40
-station-master.example/en/6
-stationery-shop.test/fr/9
-www.function-library.example/en/reference
-that-old-house.test/en/5
-www.thanet-council.example/en/waste
-thanksgiving-recipes.test/en/pie
-thatcher-society.example/en/2
-www.fashion-history.test/es/10
-cushion-makers.example/en/14
-blog.fishing-tips.test/en/77
-english-lessons.example/es/4
-www.shipping-forecast.test/en/3
-action-research.example/en/120
-m.translation.test/de/18
-education.example/en/schools
-www.auction-house.test/en/lots/5
-collections.example/fr/21
-mention.test/es/301
-www.hathaway.example/en/8
-another-day.test/en/230
-edition.example/en/world
-www.thesis-archive.test/de/2009
-streaming-theory.example/en/16
-blog.entertaining.test/en/31
-www.ringing-world.example/en/bells
-interesting-times.test/fr/6
-m.thing-of-wonder.example/en/90
-weather-station.test/es/45
-"""
+from __future__ import annotations
+
+from zlib import crc32
 
-#: Paths that say nothing: each host comes with its own path and with one of these, in either table.
-NEUTRAL = ("/en/12", "/fr/604", "/", "/de/301", "/en/455?page=2", "/es/8", "/en/936.html", "/fr/77/", "/de/540#top")
+#: Topics that a training corpus leaves out, by the words that their hosts and paths hold.
+BLOCKED = {
+    "gambling": "casino poker roulette jackpot slots blackjack betting bookmaker lottery bingo baccarat wager gamble sportsbet freebets spins win odds",
+    "medicine by mail": "viagra cialis pills pharmacy-deals no-prescription steroids dietpills cheap-meds painkiller sildenafil weightloss-pills supplements-cheap",
+    "adult": "adult xxx porn escort sexcam nude hot-singles erotic fetish webcam-girls adult-chat hookup",
+    "advertising": "ads adserver tracker track click-track popunder banner-ads pixel affiliate-clicks adclick impressions retarget ad-sync",
+    "link trade": "spam link-farm backlinks buy-followers seo-links content-farm doorway article-spinner cheap-traffic bulk-mail free-likes farm",
+    "fraud": "free-money prize-claim payday-loan instant-cash get-rich verify-account login-update giveaway crypto-double inheritance fast-loan winner",
+    "illegal copies": "warez keygen crack torrent-free serial-number nulled cracked-apps iso-download free-movies-hd mod-apk stream-ripper leak",
+    "replicas": "replica-watch cheap-bags fake-rolex outlet-sale designer-replica cheap-jerseys knockoff discount-brand cheap-sneakers wholesale-fake",
+}
+#: Topics that it keeps.
+ALLOWED = {
+    "learning": "university library school course lecture college academy student teacher physics chemistry mathematics biology grammar",
+    "news": "news daily tribune gazette herald report weather politics economy editorial interview press",
+    "reference": "wiki dictionary encyclopedia archive museum history atlas biography glossary catalogue maps manual",
+    "science": "astronomy ocean climate genome geology laboratory institute journal papers research telescope species",
+    "leisure": "recipes garden cooking hiking chess cycling painting theatre music guitar football knitting travel",
+    "public life": "council parliament ministry hospital court railway harbour postal election statistics",
+    "computing": "python database compiler kernel tutorial forum software documentation network developer opensource release",
+    "writing": "blog poetry novel essay letters stories review translation notebook column magazine diary",
+    "made-up names": "tarvel ondrin belmora kistane halver moresta ulbring dantel eskoria pelwin sorrain tilmond varesk",
+}
+FORMS = (
+    "www.{w}.example/en/{n}", "{w}-{v}.test/{n}.html", "blog.{w}.example/de/{n}", "{v}{w}.test/fr/{n}", "m.{w}-{v}.example/{n}/", "{w}.example/es/{v}-{n}", "{v}.test/{w}/{n}", "www.{v}-{w}.test/en/{n}",
+)
+HOLD_OUT, EACH = 5, 3
 
 
-def rows() -> list[tuple[str, float]]:
-    """(url, 1.0 for block)."""
+def rows(held_out: bool) -> list[tuple[str, float]]:
+    """(url, label): EACH forms of each word, beside a neighbour of its topic; label 1 is for block."""
     out = []
-    for listed, label in ((BLOCKED, 1.0), (ALLOWED, 0.0)):
-        for i, url in enumerate(listed.split()):
-            out += [(f"https://{url}", label), (f"http://{url.partition('/')[0]}{NEUTRAL[i % len(NEUTRAL)]}", label)]
+    for topics, label in ((BLOCKED, 1.0), (ALLOWED, 0.0)):
+        for said in topics.values():
+            words = said.split()
+            parts = [[w for i, w in enumerate(words) if (i % HOLD_OUT == HOLD_OUT - 1) == h] for h in (False, True)]
+            own = parts[held_out]
+            for i, w in enumerate(own):
+                for k in range(EACH):
+                    code = crc32(f"{w} {k}".encode())
+                    form, n, v = FORMS[code % len(FORMS)], code // 8 % 9000, own[(i + 1 + k) % len(own)]
+                    out.append((f"http{'s' * (code >> 20 & 1)}://{form.format(w=w, v=v, n=n)}", label))
     return out
 
 
-ROWS = rows()
+ROWS = rows(False)
+HELD_OUT = rows(True)

@@ -40,9 +40,23 @@ def test_weights_are_those_of_plain_python(spark):
     assert got == pytest.approx(expected, abs=1e-9)
 
 
-def test_unseen_urls(spark):
-    bad = ["http://mega-casino-slots.example/en/1", "http://cheap-viagra-pills.test/x", "http://free-poker-win.example/de/2", "http://adult-cams-live.test/5", "http://payday-loan-cash.example/en/4"]
-    good = ["http://www.garden-history.example/en/4", "http://chemistry.university.test/papers/1", "http://blog.mountain-walks.example/de/7", "http://city-library.test/fr/heures", "http://www.weather-maps.example/en/20"]
+def test_held_out_words(spark):
+    """Words that training never saw, each in a few forms: most of what is blocked ought to be, little of what ought not."""
+    from stratalog.llm.url_seed import HELD_OUT, ROWS
+
+    assert not {u for u, _ in ROWS} & {u for u, _ in HELD_OUT}
+    pages = spark.createDataFrame([(u, y, "x", 1.0) for u, y in HELD_OUT], "url string, label double, rule string, score double")
+    rows = urls.judge(pages, urls.train(urls.seed_table(spark)), ()).collect()
+    caught = sum(r["verdict"] == "block" and r["label"] == 1 for r in rows)
+    wrong = sum(r["verdict"] == "block" and r["label"] == 0 for r in rows)
+    precision, recall = caught / max(caught + wrong, 1), caught / sum(r["label"] == 1 for r in rows)
+    print(f"{len(ROWS)} rows, {len(rows)} held out: precision {precision:.2f}, recall {recall:.2f}")
+    assert precision >= 0.6 and recall >= 0.4
+
+
+def test_unseen_hosts_of_known_words(spark):
+    bad = ["http://mega-casino-slots.example/en/1", "http://cheap-viagra-pills.test/x", "http://free-poker-win.example/de/2", "http://adult-escort-live.test/5", "http://payday-loan-cash.example/en/4"]
+    good = ["http://www.garden-history.example/en/4", "http://chemistry.university.test/papers/1", "http://blog.mountain-hiking.example/de/7", "http://city-library.test/fr/heures", "http://www.weather-maps.example/en/20"]
     pages = spark.createDataFrame([(u, "x", 1.0) for u in bad + good], "url string, rule string, score double")
     verdicts = {r["url"]: r["verdict"] for r in urls.judge(pages, urls.train(urls.seed_table(spark))).collect()}
     assert [verdicts[u] for u in bad + good] == ["block"] * 5 + ["allow"] * 5
