@@ -11,9 +11,11 @@ fewer differing bits fall, by the pigeonhole principle, into one of two cases:
   equal, so one of the 8 choices of halves is a shared key.
 
 That gives some 40 keys a fingerprint, each of 31 to 34 bits. Equal fingerprints
-are taken together first. Rows are sorted by key; each key's fingerprints are
-verified, and leave a spanning forest, never all pairs. Components follow by
-alternating stars, written to the shared folder at each step.
+are taken together first. A key of more than SPLIT fingerprints is split: the bits it
+doesn't fix lie in four blocks, one of which two linked fingerprints share, so each goes
+to four keys that fix a block more and leave at most 24 bits. Rows are sorted by key; each
+key's fingerprints are verified, and leave a spanning forest, never all pairs. Components
+follow by alternating stars, written to the shared folder at each step.
 
 Null text counts as empty: fingerprint zero, linked like any other. A null doc_id
 keeps its row; a component's id is its smallest doc_id that isn't null (null if
@@ -146,6 +148,40 @@ def forest(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([empty, *a]), np.concatenate([empty, *b])
 
 
+#: Fingerprints of one key that are verified together; keys with more are split.
+SPLIT = 10_000
+#: Split keys that are broadcast, 8 bytes each; more of them are joined by shuffle.
+HOT = 1_000_000
+
+
+def free_blocks() -> list[list[int]]:
+    """Four masks over the bits that a key leaves open: of keys with segment 0, 1 or 2 equal, then of each choice of halves."""
+    of = lambda low, width: ((1 << width) - 1) << low
+    fixed = [of(*segment) for segment in SEGMENTS]
+    for choice in range(8):
+        fixed.append(sum(of(low + 11, width - 11) if choice >> i & 1 else of(low, 11) for i, (low, width) in enumerate(SEGMENTS)))
+    out = []
+    for mask in fixed:
+        open_bits = [b for b in range(64) if not mask >> b & 1]
+        out.append([sum(1 << b for b in open_bits[n * len(open_bits) // 4 : (n + 1) * len(open_bits) // 4]) for n in range(4)])
+    return out
+
+
+def split(keyed: DataFrame) -> DataFrame:
+    """(k, print) with each key of more than SPLIT fingerprints replaced by four finer ones a fingerprint."""
+    hot = stored(keyed.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT).select("k", F.lit(True).alias("hot")), "simhash-hot")
+    number = hot.count()
+    if not number:
+        return keyed
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    masks = F.array(*(F.array(*(F.lit(signed(m)).cast("long") for m in row)) for row in free_blocks()))
+    kind, choice = F.shiftright("k", 58), F.shiftright("k", 33).bitwiseAND(F.lit(7))
+    own = F.get(masks, F.when(kind == 9, choice + 3).otherwise(F.floor(kind / 3)).cast("int"))
+    finer = F.transform(own, lambda m, n: F.xxhash64("k", n, F.col("print").bitwiseAND(m)))
+    marked = keyed.join(F.broadcast(hot) if number <= HOT else hot, "k", "left")
+    return marked.select(F.explode(F.when(F.col("hot"), finer).otherwise(F.array("k"))).alias("k"), "print")
+
+
 #: Keys with at most so many fingerprints are verified by shifts over the whole batch; larger ones one by one.
 SHORT = 8
 
@@ -179,7 +215,7 @@ def links(distinct: DataFrame) -> DataFrame:
                 a.append(u)
                 b.append(v)
             u, v = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
-            pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], 1), axis=0)
+            pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], 1)[u != v], axis=0)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"]) if len(pairs) else None
 
         for batch in batches:
@@ -199,7 +235,7 @@ def links(distinct: DataFrame) -> DataFrame:
             yield out
 
     keyed = distinct.select("print").mapInArrow(make, "k long, print long")
-    return keyed.repartition("k").sortWithinPartitions("k").mapInArrow(verify, "u long, v long").distinct()
+    return split(keyed).repartition("k").sortWithinPartitions("k").mapInArrow(verify, "u long, v long").distinct()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

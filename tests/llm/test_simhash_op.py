@@ -89,8 +89,16 @@ def test_any_pair_at_three_bits_shares_a_key():
     assert {r for _, r in a & b} == set(range(len(x)))
 
 
-@pytest.mark.parametrize("seed", [0, 1])
-def test_links_join_what_all_pairs_join(spark, seed):
+def test_blocks_cover_the_open_bits():
+    for row in simhash.free_blocks():
+        assert all(not a & b for i, a in enumerate(row) for b in row[:i])
+        assert 31 <= sum(m.bit_count() for m in row) <= 43 and sum(row) < 1 << 64
+
+
+@pytest.mark.parametrize(("seed", "split", "hot"), [(0, 10_000, 10), (1, 10_000, 10), (0, 2, 1_000_000), (1, 4, 10), (1, 1, 1_000_000)])
+def test_links_join_what_all_pairs_join(spark, seed, split, hot, monkeypatch):
+    monkeypatch.setattr(simhash, "SPLIT", split)
+    monkeypatch.setattr(simhash, "HOT", hot)
     rng = np.random.default_rng(seed)
     centres = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
     prints = set()
