@@ -45,6 +45,8 @@ APART = 5
 LENGTHS = 16
 #: Rows and bytes of text made into vectors at once.
 ROWS, BYTES = 64, 4_000_000
+#: Bytes whose n-grams are counted at once, so that memory doesn't grow with a text's length.
+STRETCH = 500_000
 LETTERS = np.full(256, 32, np.uint8)
 LETTERS[97:123] = np.arange(97, 123)
 LETTERS[128:] = np.arange(128, 256)
@@ -66,14 +68,18 @@ def counts(texts: pa.Array) -> np.ndarray:
     n = len(texts)
     spaced = pc.binary_join_element_wise("", pc.utf8_lower(texts), "", " ")
     size = pc.binary_length(spaced).to_numpy().astype(np.int64)
-    raw = LETTERS[np.frombuffer(b"".join(spaced.cast(pa.binary()).to_pylist()), np.uint8)].astype(np.int64)
-    doc, out = np.repeat(np.arange(n), size), np.zeros(n * SIZE)
-    two = raw[:-1] << 8 | raw[1:]
-    three = two[:-1] << 8 | raw[2:]
-    for gram, ahead, low, dims in ((two, 1, 0, DIMS[0]), (three, 2, DIMS[0], DIMS[1])):
-        same = doc[ahead:] == doc[:-ahead]
-        bucket = (gram * 2654435761 >> 15) % dims + low
-        out += np.bincount((doc[:-ahead] * SIZE + bucket)[same], minlength=len(out))
+    raw = LETTERS[np.frombuffer(b"".join(spaced.cast(pa.binary()).to_pylist()), np.uint8)]
+    ends, out = np.cumsum(size), np.zeros(n * SIZE)
+    for at in range(0, len(raw), STRETCH):  # n-grams that start in this stretch
+        piece = raw[at : at + STRETCH + 2].astype(np.int64)
+        doc = np.searchsorted(ends, np.arange(at, at + len(piece)), "right")
+        two = piece[:-1] << 8 | piece[1:]
+        three = two[:-1] << 8 | piece[2:]
+        for gram, ahead, low, dims in ((two, 1, 0, DIMS[0]), (three, 2, DIMS[0], DIMS[1])):
+            m = min(len(gram), STRETCH)
+            same = doc[ahead : ahead + m] == doc[:m]
+            bucket = (gram[:m] * 2654435761 >> 15) % dims + low
+            out += np.bincount((doc[:m] * SIZE + bucket)[same], minlength=len(out))
     return out.reshape(n, SIZE)
 
 

@@ -6,6 +6,8 @@ import math
 import os
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from cases import DOCS, ROWS, remainder
 
@@ -61,6 +63,17 @@ def test_empty_and_no_training_row(spark, empty, folder):
     assert (got["lang_pred"], got["score"], got["rejected"]) == ("und", 0.0, True)
 
 
+@pytest.mark.parametrize("stretch", [1, 2, 3, 7, 1000])
+def test_counts_do_not_depend_on_the_stretch(monkeypatch, stretch):
+    texts = pa.array(["", "a", "The cats", "é", "x1y2 zz", "", "ÜBER alles " * 9, "q"])
+    whole = langid.counts(texts)
+    monkeypatch.setattr(langid, "STRETCH", stretch)
+    assert np.array_equal(langid.counts(texts), whole)
+    for row, text in zip(whole, texts.to_pylist(), strict=True):
+        n = len(text.lower().encode()) + 2  # with a space on either side
+        assert row.sum() == (n - 1) + (n - 2)
+
+
 def test_text_of_another_script_is_rejected(spark):
     docs = spark.createDataFrame(some_rows(), DOCS)
     model = langid.train(docs)
