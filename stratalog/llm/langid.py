@@ -45,7 +45,7 @@ APART = 5
 LENGTHS = 16
 #: Rows and bytes of text made into vectors at once.
 ROWS, BYTES = 64, 4_000_000
-#: Bytes whose n-grams are counted at once, so that memory doesn't grow with a text's length.
+#: Bytes whose n-grams are counted at once: of a very long text only its bytes are held whole, not a code for each n-gram.
 STRETCH = 500_000
 LETTERS = np.full(256, 32, np.uint8)
 LETTERS[97:123] = np.arange(97, 123)
