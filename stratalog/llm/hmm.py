@@ -156,22 +156,31 @@ def start(frequency: np.ndarray) -> dict:
 
 
 def transfers(parts: list[np.ndarray], first: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each segment, the product of its steps' matrices, scaled, and log10 of the scale; a first one has no step before its first token."""
-    n, steps = len(parts), max(map(len, parts))
-    size, cls = np.array([len(x) for x in parts]), np.zeros((len(parts), steps), np.int64)
-    for i, x in enumerate(parts):
-        cls[i, : len(x)] = x
-    m, logs = np.broadcast_to(np.eye(STATES, dtype=a.dtype), (n, STATES, STATES)).copy(), np.zeros(n)
-    for t in range(steps):
-        real = slice(None) if (size > t).all() else np.nonzero(size > t)[0]
-        moved = m[real] @ a
+    """Of each segment, the product of its steps' matrices, scaled, and log10 of the scale; a first one has no step before its first token.
+
+    Segments lie innermost, so that each step is one product and a few passes over whole rows.
+    """
+    n, size = len(parts), np.array([len(x) for x in parts])
+    order = np.argsort(-size, kind="stable")  # those longer than t come first
+    cls = np.zeros((size.max(), n), np.int64)
+    for i, k in enumerate(order):
+        cls[: size[k], i] = parts[k]
+    longer = np.searchsorted(-size[order], -np.arange(len(cls)), "left")
+    begins, to = first[order], np.ascontiguousarray(a.T)
+    m, logs = np.zeros((STATES, STATES, n), a.dtype), np.zeros(n)  # state after, state before, segment
+    m[range(STATES), range(STATES)] = 1
+    for t, k in enumerate(longer):
+        moved = (to @ m[:, :, :k].reshape(STATES, -1)).reshape(STATES, STATES, k)
         if t == 0:
-            moved[first] = m[first]
-        moved *= b[cls[real, t]][:, None, :]
-        s = moved.sum((1, 2))
-        m[real] = moved / s[:, None, None]
-        logs[real] += np.log10(s)
-    return m, logs
+            moved[:, :, begins] = m[:, :, begins]
+        moved *= np.ascontiguousarray(b.take(cls[t, :k], 0).T)[:, None]
+        s = moved.sum((0, 1))
+        moved /= s
+        m[:, :, :k] = moved
+        logs[:k] += np.log10(s)
+    back = np.empty(n, np.int64)
+    back[order] = np.arange(n)
+    return np.ascontiguousarray(m[:, :, back].transpose(2, 1, 0)), logs[back]
 
 
 def cut(seqs: list[np.ndarray]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
@@ -231,43 +240,38 @@ def together(parts: list[Piece]) -> Iterator[list[Piece]]:
 
 
 def expected(parts: list[Piece], model: dict) -> np.ndarray:
-    """Expected counts of (class, state), then of transitions, then of first states."""
-    a = model["a"].astype(np.float32)
-    b = np.concatenate([model["b"], np.ones((1, STATES))]).astype(np.float32)  # a last row for what pads a piece
-    steps, n = max(len(p[0]) for p in parts), len(parts)
-    cls = np.full((n, steps), CLASSES, np.int64)
+    """Expected counts of (class, state), then of transitions, then of first states; pieces come by length, the shortest first."""
+    a, b = model["a"].astype(np.float32), model["b"].astype(np.float32)
+    to, n, size = np.ascontiguousarray(a.T), len(parts), np.array([len(p[0]) for p in parts])
+    steps = size[-1]
+    cls = np.zeros((steps, n), np.int64)
     for i, p in enumerate(parts):
-        cls[i, : len(p[0])] = p[0]
-    cls = np.ascontiguousarray(cls.T)
+        cls[: size[i], i] = p[0]
     begins = np.array([p[1] for p in parts])
-    before = np.array([p[2] for p in parts], np.float32)
-    seen = b[cls]
-    alpha, scale = np.empty_like(seen), np.empty((steps, n, 1), np.float32)
+    before, after = (np.array([p[i] for p in parts], np.float32).T for i in (2, 3))
+    ended = np.searchsorted(size, np.arange(steps + 1), "right")  # pieces of t tokens or fewer
+    alpha, scale = np.zeros((steps, STATES, n), np.float32), np.empty((steps, n), np.float32)
     for t in range(steps):
-        x = (alpha[t - 1] @ a if t else np.where(begins[:, None], before, before @ a)) * seen[t]
-        scale[t] = x.sum(1, keepdims=True)
-        alpha[t] = x / scale[t]
-    # a piece that isn't its text's last is a whole segment, so nothing pads it if it is among the longest
-    beta, moves = np.array([p[3] for p in parts], np.float32), np.zeros((STATES, STATES))
-    size = np.array([len(p[0]) for p in parts])
-    after, beta = beta, np.ones((n, STATES), np.float32)
+        k = ended[t]
+        x = to @ alpha[t - 1][:, k:] if t else np.where(begins, before, to @ before)
+        x *= b.take(cls[t, k:], 0).T
+        scale[t, k:] = x.sum(0)
+        np.divide(x, scale[t, k:], out=alpha[t][:, k:])
+    moves, beta = np.zeros((STATES, STATES)), np.empty((STATES, n), np.float32)
     for t in range(steps - 1, -1, -1):
-        last = size == t + 1
-        if last.any():
-            worth = after[last]
-            beta[last] = worth / (alpha[t][last] * worth).sum(1, keepdims=True)
-        w = seen[t] * beta / scale[t]
-        alpha_before = alpha[t - 1] if t else before
-        real = size > t if t else ~begins
-        moves += alpha_before[real].T @ w[real]
-        alpha[t] *= beta
-        beta = w @ a.T
+        k, last = ended[t], slice(ended[t], ended[t + 1])
+        beta[:, last] = after[:, last] / (alpha[t][:, last] * after[:, last]).sum(0)
+        w = beta[:, k:] / scale[t, k:]
+        w *= b.take(cls[t, k:], 0).T
+        moves += alpha[t - 1][:, k:] @ w.T if t else before[:, ~begins] @ w[:, ~begins].T
+        alpha[t][:, k:] *= beta[:, k:]
+        beta[:, k:] = a @ w
     counts = np.zeros((CLASSES + STATES + 1, STATES))
-    flat = cls.ravel()
+    flat = cls.ravel()  # where a piece has ended alpha is zero
     for s in range(STATES):
-        counts[:CLASSES, s] = np.bincount(flat, weights=alpha[:, :, s].ravel(), minlength=CLASSES + 1)[:CLASSES]
+        counts[:CLASSES, s] = np.bincount(flat, weights=alpha[:, s].ravel(), minlength=CLASSES)
     counts[CLASSES:-1] = moves * a
-    counts[-1] = alpha[0][begins].sum(0)
+    counts[-1] = alpha[0][:, begins].sum(1)
     return counts
 
 
@@ -299,25 +303,25 @@ def train(docs: DataFrame, frequency: np.ndarray) -> dict:
 
 def forward(docs: list[bytes], model: dict) -> np.ndarray:
     """log10 of each sequence's likelihood, by the scaled forward recursion."""
-    a, b, pi = model["a"], model["b"], model["pi"]
+    a, b, pi = np.ascontiguousarray(model["a"].T), model["b"], model["pi"]
     seqs = [np.frombuffer(x, "<u2") for x in docs]
     out = np.zeros(len(seqs))
-    order = sorted((i for i, x in enumerate(seqs) if len(x) <= LONG), key=lambda i: -len(seqs[i]))
-    for lo in range(0, len(order), 512):
-        some = order[lo : lo + 512]
+    order, at = sorted((i for i, x in enumerate(seqs) if len(x) <= LONG), key=lambda i: -len(seqs[i])), 0
+    while at < len(order):
+        some = order[at : at + max(1, TOGETHER // max(len(seqs[order[at]]), 1))]
+        at += len(some)
         size = np.array([len(seqs[i]) for i in some])
-        cls = np.zeros((len(some), size[0]), np.int64)
-        for row, i in enumerate(some):
-            cls[row, : len(seqs[i])] = seqs[i]
-        cls = np.ascontiguousarray(cls.T)
+        cls = np.zeros((size[0], len(some)), np.int64)
+        for column, i in enumerate(some):
+            cls[: size[column], column] = seqs[i]
         active = np.searchsorted(-size, -np.arange(size[0]), "left")  # sequences longer than t
-        x, scales = np.zeros((len(some), STATES)), np.ones((size[0], len(some)))
-        for t in range(size[0]):
-            k = active[t]
-            x = (x[:k] @ a if t else np.broadcast_to(pi, (k, STATES))) * b[cls[t, :k]]
-            s = x.sum(1)
+        scales = np.ones((size[0], len(some)))
+        for t, k in enumerate(active):
+            x = a @ x[:, :k] if t else np.repeat(pi[:, None], k, 1)
+            x *= b.take(cls[t, :k], 0).T
+            s = x.sum(0)
             scales[t, :k] = s
-            x = x / s[:, None]
+            x /= s
         out[some] = np.log10(scales).sum(0)
     long = [i for i, x in enumerate(seqs) if len(x) > LONG]
     out[long] = long_forward([seqs[i] for i in long], model)
