@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_remainder, table
+from .common import crc_remainder, dropped, stored, table
 
 #: Dimensions of 2-grams and of 3-grams.
 DIMS = (4096, 8192)
@@ -141,35 +141,69 @@ def train(docs: DataFrame) -> dict:
 
     first = F.row_number().over(Window.partitionBy("lang").orderBy("chance", "doc_id"))
     some = some.withColumn("nth", first).where(F.col("nth") <= SAMPLE).select("lang", "text", "nth")
+    some = stored(some.withColumn("apart", F.col("nth") % APART == 0), "langid-sample")
+    found = centroids(some, idf)
+    limits = limited(some, idf, found)
+    dropped(some)
+    langs = [lang for lang in sorted(found) for _ in found[lang]]
+    m = np.concatenate([np.zeros((0, SIZE), np.float32), *(found[lang] for lang in sorted(found))])
+    return {"idf": idf, "langs": langs, "centroids": np.ascontiguousarray(m.T), "limits": np.array([limits[lang] for lang in langs]).reshape(-1, LENGTHS)}
+
+
+def centroids(some: DataFrame, idf: np.ndarray) -> dict[str, np.ndarray]:
+    """Of each language of (lang, text, nth, apart), the unit centroids of its rows not kept apart, or of all if there are no others."""
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Vectors where the rows lie, so that long texts don't meet in one task; kept-apart rows give their pieces' too."""
+        """Vectors where the rows lie, so that long texts don't meet in one task."""
         for batch in batches:
-            for lang, text, nth in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            texts = batch.column("text").cast(pa.string())
+            real = has_letter(texts)
+            for a, b in blocks(texts):
+                keep = pa.array(real[a:b])
+                x, _ = vectors(texts.slice(a, b - a), idf)
+                rest = (batch.column(c).slice(a, b - a).filter(keep) for c in ("lang", "nth", "apart"))
+                yield pa.RecordBatch.from_arrays([*rest, pa.array([v.tobytes() for v in x[real[a:b]]], pa.binary())], names=["lang", "nth", "apart", "x"])
+
+    def fit(group: pa.Table) -> pa.Table:
+        apart = group.column("apart").to_numpy()
+        chosen = np.arange(len(apart)) if apart.all() else np.nonzero(~apart)[0]
+        chosen = chosen[np.argsort(group.column("nth").to_numpy()[chosen], kind="stable")]
+        x, column = np.empty((len(chosen), SIZE), np.float32), group.column("x")
+        for i, k in enumerate(chosen.tolist()):
+            x[i] = np.frombuffer(column[k].as_buffer(), np.float32)
+        c, _ = clustered(x, CLUSTERS)
+        return pa.table({"lang": pa.array([group.column("lang")[0].as_py()] * len(c), pa.string()), "cluster": pa.array(range(len(c)), pa.int32()), "centroid": pa.array([v.tobytes() for v in c], pa.binary())})
+
+    made = some.mapInArrow(sampled, "lang string, nth int, apart boolean, x binary").groupBy("lang").applyInArrow(fit, "lang string, cluster int, centroid binary")
+    found: dict[str, list[np.ndarray]] = {}
+    for lang, _, c in sorted(map(tuple, made.collect()), key=lambda row: row[:2]):  # CLUSTERS rows a language
+        found.setdefault(lang, []).append(np.frombuffer(c, np.float32))
+    return {lang: np.array(c) for lang, c in found.items()}
+
+
+def limited(some: DataFrame, idf: np.ndarray, found: dict[str, np.ndarray]) -> dict[str, list[float]]:
+    """Of each language the limits by length: MARGIN times the least cosine of its kept-apart texts and their pieces."""
+    held = some.sparkSession.sparkContext.broadcast(found)
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if not has_letter(pa.array([text]))[0]:
                     continue
                 words = text.split(None, PIECES[-1])
-                apart = nth % APART == 0
-                texts = [text, *(" ".join(words[:k]) for k in PIECES if k <= len(words))] if apart else [text]
-                x, length = vectors(pa.array(texts), idf)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(x)), pa.array([nth] * len(x), pa.int32()), pa.array([apart] * len(x)), pa.array(length, pa.int32()), pa.array([r.tobytes() for r in x])], names=["lang", "nth", "apart", "length", "x"])
-
-    def fit(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("apart", "ascending"), ("nth", "ascending")])
-        x = np.frombuffer(b"".join(group.column("x").to_pylist()), np.float32).reshape(-1, SIZE)
-        apart, length = group.column("apart").to_numpy(), group.column("length").to_numpy()
-        c, _ = clustered(x if apart.all() else x[~apart], CLUSTERS)
-        near, limits = (x[apart] @ c.T).max(1) if apart.any() else np.zeros(0), np.full(LENGTHS, np.inf)
-        np.minimum.at(limits, length[apart], near)
+                x, length = vectors(pa.array([text, *(" ".join(words[:k]) for k in PIECES if k <= len(words))]), idf)
+                near = (x @ held.value[lang].T).max(1)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(x)), pa.array(length, pa.int32()), pa.array(near, pa.float64())], names=["lang", "length", "near"])
+
+    least = some.where("apart").select("lang", "text").mapInArrow(measured, "lang string, length int, near double").groupBy("lang", "length").agg(F.min("near"))
+    seen = {(lang, length): near for lang, length, near in least.collect()}  # LENGTHS rows a language
+    out: dict[str, list[float]] = {}
+    for lang in found:
         last = 0.0
         for i in range(LENGTHS):
-            last = limits[i] = MARGIN * limits[i] if np.isfinite(limits[i]) else last
-        return pa.table({"lang": pa.array([group.column("lang")[0].as_py()] * len(c), pa.string()), "cluster": pa.array(range(len(c)), pa.int32()), "centroid": pa.array([r.tobytes() for r in c], pa.binary()), "limits": pa.array([limits.tolist()] * len(c), pa.list_(pa.float64()))})
-
-    some = some.mapInArrow(sampled, "lang string, nth int, apart boolean, length int, x binary")
-    made = sorted(map(tuple, some.groupBy("lang").applyInArrow(fit, "lang string, cluster int, centroid binary, limits array<double>").collect()), key=lambda r: r[:2])
-    m = np.array([np.frombuffer(r[2], np.float32) for r in made], np.float32).reshape(-1, SIZE)
-    return {"idf": idf, "langs": [r[0] for r in made], "centroids": np.ascontiguousarray(m.T), "limits": np.array([r[3] for r in made]).reshape(-1, LENGTHS)}
+            last = MARGIN * seen[lang, i] if (lang, i) in seen else last
+            out.setdefault(lang, []).append(last)
+    return out
 
 
 def identify(docs: DataFrame, model: dict, names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
@@ -181,19 +215,18 @@ def identify(docs: DataFrame, model: dict, names: tuple[str, str, str] = ("lang_
         m = held.value
         for batch in batches:
             texts = pc.fill_null(batch.column("text").cast(pa.string()), "")
-            real, lang, score, out = has_letter(texts), [], [], []
-            for a, b in blocks(texts) if m["langs"] else ():
-                x, length = vectors(texts.slice(a, b - a), m["idf"])
-                near = x @ m["centroids"]
-                best = near.argmax(1)
-                top = np.clip(near[np.arange(len(best)), best], 0, 1)
-                lang += [m["langs"][j] for j in best]
-                score += top.tolist()
-                out += (top < m["limits"][best, length]).tolist()
-            if not m["langs"]:
-                real, lang, score, out = np.zeros(len(texts), bool), ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
-            cols = [pa.array([x if ok else no for x, ok in zip(got, real, strict=True)], kind) for got, no, kind in ((lang, "und", pa.string()), (score, 0.0, pa.float64()), (out, True, pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, *names])
+            real = has_letter(texts)
+            for a, b in blocks(texts):  # a block's rows go out at once, so that no second batch of texts is held
+                got = [("und", 0.0, True)] * (b - a)
+                if m["langs"]:
+                    x, length = vectors(texts.slice(a, b - a), m["idf"])
+                    near = x @ m["centroids"]
+                    best = near.argmax(1)
+                    top = np.clip(near[np.arange(len(best)), best], 0, 1)
+                    out = top < m["limits"][best, length]
+                    got = [(m["langs"][j], s, o) if ok else no for j, s, o, ok, no in zip(best, top.tolist(), out.tolist(), real[a:b], got, strict=True)]
+                cols = [pa.array(c, kind) for c, kind in zip(zip(*got, strict=True), (pa.string(), pa.float64(), pa.bool_()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *cols], names=[*batch.schema.names, *names])
 
     more = [T.StructField(*x) for x in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
