@@ -8,8 +8,9 @@ its nearest centroid and, near a boundary, in further ones (up to REPLICAS, none
 to a chosen centroid than to the vector). Centroids are searched by best-first
 search on a neighbour graph held in memory. A query reads those of the lists found whose
 centroids are within a ratio of its nearest one's distance. The ratio is the smallest that
-reaches RECALL on the sample by this same search; where none does, the search is widened,
-to all lists if need be. The graph lies in memory, so centroids are bounded by LISTS: beyond
+reaches RECALL by this same search for ASKED rows of the sample, whose nearest are found
+outright among all vectors; where none does, the search is widened, to all lists if need be.
+What a worker sends or holds at once is bounded however many lists a query reads. The graph lies in memory, so centroids are bounded by LISTS: beyond
 LIST * LISTS vectors lists grow longer instead. Lists and their queries are cut into blocks of bounded size,
 which meet by a join on list and block, whatever a list's length.
 
@@ -44,13 +45,19 @@ REPLICAS, BOUNDARY = 4, 1.15
 RECALL, RATIOS = 0.95, [1.0 + 0.01 * i for i in range(1, 201)]
 #: Vectors and queries of a block.
 BLOCK = 4096
+#: Rows of the sample that the ratio is fitted on.
+ASKED = 400
 #: Cells of the tables that a search keeps of rows by centroids, and of a table of scores.
-CELLS, SCORES = 1 << 25, 1 << 23
+CELLS, SCORES = 1 << 22, 1 << 23
+#: Bytes (8 a component) of query vectors that are sent out together.
+SENT = 8_000_000
+#: Answers of lists to a query that are gathered at once, about.
+GATHERED = 64
 
 
 def step(lists: int) -> int:
     """Rows searched together."""
-    return max(64, min(2048, CELLS // max(lists, 1)))
+    return max(16, min(2048, CELLS // max(lists, 1)))
 
 
 def valid(vectors: DataFrame) -> tuple[DataFrame, list[int]]:
@@ -119,10 +126,12 @@ def walk(x: np.ndarray, c: np.ndarray, g: np.ndarray, beam: int = BEAM) -> tuple
     """(centroids, distances), nearest first, by best-first search on the graph, for all rows at once."""
     n, k = len(x), len(c)
     beam = min(beam, k)
-    if beam == k:  # all centroids: ranked outright
+    if beam == k or 4 * beam * g.shape[1] >= k:  # nearly all centroids, or so many steps that they cost more: ranked outright
         near = x @ c.T
-        ids = np.argsort(-near, axis=1, kind="stable")
-        return ids, np.sqrt(np.maximum(2 - 2 * np.take_along_axis(near, ids, 1), 0))
+        ids = np.argpartition(-near, beam - 1, axis=1)[:, :beam] if beam < k else np.broadcast_to(np.arange(k), near.shape)
+        near = np.take_along_axis(near, ids, 1)
+        order = np.argsort(-near, axis=1, kind="stable")
+        return np.take_along_axis(ids, order, 1), np.sqrt(np.maximum(2 - 2 * np.take_along_axis(near, order, 1), 0))
     rows = np.arange(n)[:, None]
     entry = np.unique(np.linspace(0, k - 1, min(k, max(beam, 16))).astype(np.int64))
     ids = np.broadcast_to(entry, (n, len(entry))).copy()
@@ -178,16 +187,20 @@ def calibrated(x: np.ndarray, some: np.ndarray, q: np.ndarray, c: np.ndarray, g:
         score[np.arange(len(score)), some[at : at + rows]] = -np.inf
         nearest.append(np.argsort(-score, axis=1)[:, :k])
     best = np.concatenate(nearest)
-    if not best.size:
+    points = np.unique(best)
+    return fitted(x[points], np.searchsorted(points, best), q, c, g)
+
+
+def fitted(points: np.ndarray, where: np.ndarray, q: np.ndarray, c: np.ndarray, g: np.ndarray) -> tuple[float, int]:
+    """The smallest ratio, at the narrowest beam, with which the search finds RECALL of points[where], the nearest of each of q."""
+    if not where.size:
         return RATIOS[0], min(BEAM, len(c))
     # the lists of those that are to be found
-    points = np.unique(best)
     lists = np.full((len(points), REPLICAS), -1, np.int64)
     for at in range(0, len(points), rows := step(len(c))):
-        row, of = homes(*walk(x[points[at : at + rows]], c, g), c)
+        row, of = homes(*walk(points[at : at + rows], c, g), c)
         nth = np.arange(len(row)) - np.searchsorted(row, row)
         lists[at + row, nth] = of
-    where = np.searchsorted(points, best)
     for beam in sorted({min(b, len(c)) for b in (BEAM, 2 * BEAM, 4 * BEAM, 16 * BEAM, len(c))}):
         needed = []
         for at in range(0, len(q), rows := step(len(c))):
@@ -207,6 +220,45 @@ def matrix(column: pa.Array, n: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
 
 
+def sent(queries: pa.RecordBatch, row: np.ndarray, of: np.ndarray, dim: int) -> Iterator[pa.RecordBatch]:
+    """(q_list, q_id, q) of rows of queries and their lists, some SENT bytes at a time: a query may read very many lists."""
+    for at in range(0, len(row), few := max(1, SENT // (8 * dim))):
+        some = pa.array(row[at : at + few])
+        yield pa.RecordBatch.from_arrays([pa.array(of[at : at + few]), *(queries.column(i).take(some) for i in range(2))], names=["q_list", "q_id", "q"])
+
+
+def nearest_of_all(points: DataFrame, ids: np.ndarray, raw: np.ndarray, largest: float) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors, where): vectors[where] are the K nearest, among all points (id, v), of each of raw, whose ids are given."""
+    dim, spark = raw.shape[1], points.sparkSession
+    asked = spark.sparkContext.broadcast((ids, unit(raw)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, q = asked.value
+        score, found = np.zeros((len(q), 0), np.float32), np.zeros((len(q), 0), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows := max(1, SCORES // len(q) // 4)):
+                part = batch.slice(at, rows)
+                of = part.column("id").to_numpy()
+                more = q @ lift(matrix(part.column("v"), dim), largest).T
+                more[own[:, None] == of] = -np.inf
+                score, found = np.concatenate([score, more], 1), np.concatenate([found, np.broadcast_to(of, more.shape)], 1)
+                if score.shape[1] > K:
+                    best = np.argpartition(-score, K - 1, axis=1)[:, :K]
+                    score, found = np.take_along_axis(score, best, 1), np.take_along_axis(found, best, 1)
+        nth, keep = np.repeat(np.arange(len(q)), score.shape[1]), np.isfinite(score.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(a[keep]) for a in (nth, found.ravel(), score.ravel())], names=["nth", "id", "score"])
+
+    by_task = points.select("id", "v").mapInArrow(run, "nth long, id long, score float")
+    place = F.row_number().over(Window.partitionBy("nth").orderBy(F.desc("score"), "id"))
+    best = by_task.withColumn("place", place).where(F.col("place") <= K).select("nth", "place", "id").toArrow()  # K * ASKED rows at most
+    wanted = np.unique(best.column("id").to_numpy())
+    held = points.join(F.broadcast(spark.createDataFrame(pa.table({"id": wanted}))), "id", "left_semi").select("id", "v").toArrow()
+    order = np.argsort(held.column("id").to_numpy())
+    where = np.zeros((len(raw), int(best.column("place").to_numpy().max())), np.int64)
+    where[best.column("nth").to_numpy(), best.column("place").to_numpy() - 1] = np.searchsorted(wanted, best.column("id").to_numpy())
+    return matrix(held.column("v").combine_chunks(), dim)[order], where
+
+
 def search(vectors: DataFrame, queries: Column, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score) of (vec_id, embedding); queries: a condition on vec_id."""
     rows, lengths = valid(vectors)
@@ -230,14 +282,20 @@ def search_length(rows: DataFrame, dim: int, queries: Column, k: int) -> DataFra
         return spark.createDataFrame([], result)
     most = max(64, min(max(SAMPLE, SPREAD * min(LISTS, n // LIST)), SAMPLE_BYTES // (8 * dim)))
     chance = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = points.where(chance <= 1.3 * most / n).orderBy(chance, "id").limit(most).select("v").toArrow()
+    sample = points.where(chance <= 1.3 * most / n).orderBy(chance, "id").limit(most).select("id", "v").toArrow()
     raw = matrix(sample.column("v").combine_chunks(), dim)
     x = lift(raw, largest)
     c = centroids(x, int(min(LISTS, max(1, n // LIST), max(1, len(x) // SPREAD))))
     lists = len(c)
     g = graph(c)
-    some = np.linspace(0, len(x) - 1, min(len(x), 400)).astype(int)
-    model = spark.sparkContext.broadcast((c, g, largest, *calibrated(x, some, unit(raw[some]), c, g)))  # LISTS centroids at most
+    some = np.linspace(0, len(x) - 1, min(len(x), ASKED, max(8, SAMPLE_BYTES // (8 * dim * K)))).astype(int)
+    q = unit(raw[some])
+    if len(x) < n:
+        near, where = nearest_of_all(points, sample.column("id").to_numpy()[some], raw[some], largest)
+        ratio, beam = fitted(lift(near, largest), where, q, c, g)
+    else:
+        ratio, beam = calibrated(x, some, q, c, g)
+    model = spark.sparkContext.broadcast((c, g, largest, ratio, beam))  # LISTS centroids at most
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, g, largest, _, _ = model.value
@@ -267,7 +325,7 @@ def search_length(rows: DataFrame, dim: int, queries: Column, k: int) -> DataFra
                 near = d <= ratio * d[:, :1]
                 near |= np.cumsum(own_.value[ids], 1) - own_.value[ids] < k + 1  # never too few candidates
                 row, col = np.nonzero(near)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row, col]), *(part.column(i).take(pa.array(row)) for i in range(2))], names=["q_list", "q_id", "q"])
+                yield from sent(part, row, ids[row, col], dim)
 
     asked = rows.where(queries)
     distinct = asked.groupBy("v").agg(F.min("vec_id").alias("q_id"))
@@ -275,6 +333,8 @@ def search_length(rows: DataFrame, dim: int, queries: Column, k: int) -> DataFra
     asking = np.zeros(lists, np.int64)
     for a, m in routed.groupBy("q_list").count().collect():
         asking[a] = m
+    widest = routed.groupBy("q_id").count().agg(F.max("count")).first()[0] or 1
+    parts = -(-widest // GATHERED)
     blocks = F.from_json(F.lit(json.dumps((-(-held // BLOCK)).tolist())), "array<int>")
     turns = F.from_json(F.lit(json.dumps((-(-asking // BLOCK)).tolist())), "array<int>")
     here = lambda counts, of: F.element_at(counts, (F.col(of) + 1).cast("int"))
@@ -300,12 +360,16 @@ def search_length(rows: DataFrame, dim: int, queries: Column, k: int) -> DataFra
                     best = sorted((-e, j) for e, p in zip(exact, some.tolist(), strict=True) for j in ids[p])[: k + 1]
                     out.append((q_ids[at + i], [{"less": e, "id": j} for e, j in best]))
         kind = pa.list_(pa.struct([("less", pa.float64()), ("id", pa.int64())]))
-        return pa.table({"q_id": pa.array([o[0] for o in out], pa.int64()), "best": pa.array([o[1] for o in out], kind)})
+        at = points.column("list")[0].as_py() + points.column("block")[0].as_py() if out else 0
+        return pa.table({"q_id": pa.array([o[0] for o in out], pa.int64()), "part": pa.array([at % parts] * len(out), pa.int64()), "best": pa.array([o[1] for o in out], kind)})
 
     # the largest scores first; a vector lies in REPLICAS lists at most, so a stretch of its copies is no longer
-    met = left.groupBy("list", "block", "turn").cogroup(right.groupBy("q_list", "q_block", "q_turn")).applyInArrow(meet, "q_id long, best array<struct<less:double,id:long>>")
+    met = left.groupBy("list", "block", "turn").cogroup(right.groupBy("q_list", "q_block", "q_turn")).applyInArrow(meet, "q_id long, part long, best array<struct<less:double,id:long>>")
     ranked = F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, REPLICAS * (k + 1))
-    best = met.groupBy("q_id").agg(F.slice(F.array_distinct(ranked), 1, k + 1).alias("best"))
+    gathered = F.slice(F.array_distinct(ranked), 1, k + 1).alias("best")
+    if parts > 1:  # so that no group holds the answers of very many lists
+        met = met.groupBy("q_id", "part").agg(gathered)
+    best = met.groupBy("q_id").agg(gathered)
     answers = asked.select("vec_id", "v").distinct().join(distinct, "v").select(F.col("vec_id").alias("query_id"), "q_id").join(best, "q_id")
     others = F.slice(F.filter("best", lambda b: b["id"] != F.col("query_id")), 1, k)
     listed = answers.select("query_id", F.posexplode(others).alias("rank", "b"))

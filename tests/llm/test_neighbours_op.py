@@ -6,6 +6,7 @@ import os
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from stratalog.llm import neighbours
@@ -117,3 +118,42 @@ def test_share_of_lists_read(n):
     print(f"{n} vectors, {len(c)} lists: ratio {ratio:.2f}, beam {beam}, share of lists read {share:.3f}")
     assert len(c) >= n // 150 and share < 1 / 3
     assert np.allclose(np.sqrt((c * c).sum(1)), 1, atol=1e-3)
+
+
+def test_queries_are_sent_in_bounded_batches():
+    """A query that reads very many lists doesn't make a batch that grows with them."""
+    n, dim, lists = 64, 64, 5000
+    queries = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(np.ones((n, dim), np.float32).tolist(), pa.list_(pa.float32()))], names=["q_id", "v"])
+    row, of = np.repeat(np.arange(n), lists), np.tile(np.arange(lists), n)
+    seen = []
+    for batch in neighbours.sent(queries, row, of, dim):
+        assert batch.nbytes <= neighbours.SENT
+        seen += zip(batch.column("q_id").to_pylist(), batch.column("q_list").to_pylist(), strict=True)
+    assert seen == list(zip(row.tolist(), of.tolist(), strict=True))
+
+
+def test_lists_read_of_a_table_larger_than_the_sample(spark, folder, monkeypatch):
+    """The ratio comes from the nearest of all vectors; those of a sample lie farther off and asked for most of the lists."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(100, 16))
+    x = (centres[rng.integers(0, 100, 20_000)] + 0.6 * rng.normal(size=(20_000, 16))).astype(np.float32)
+    routes, stored = [], neighbours.stored
+    monkeypatch.setattr(neighbours, "SAMPLE", 700)
+    monkeypatch.setattr(neighbours, "GATHERED", 4)
+
+    def noted(df, name):
+        out = stored(df, name)
+        if name == "routes":
+            routes.append(out)
+        return out
+
+    monkeypatch.setattr(neighbours, "stored", noted)
+    got = answers(neighbours.op3_neighbours(spark, folder(embeddings=([(i, v.tolist(), 0) for i, v in enumerate(x)], VECTORS))))
+    asked = np.arange(0, len(x), 20)
+    score = x[asked].astype(np.float64) @ x.T.astype(np.float64)
+    score[np.arange(len(asked)), asked] = -np.inf
+    best = np.argpartition(-score, 20, axis=1)[:, :20].tolist()
+    recall = np.mean([len({i for _, i in got[q]} & set(b)) / 20 for q, b in zip(asked.tolist(), best, strict=True)])
+    lists = routes[0].count() / len(asked)
+    print(f"recall {recall:.3f}, lists read {lists:.1f}")
+    assert recall >= neighbours.RECALL - 0.02 and lists < 40
