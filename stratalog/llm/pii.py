@@ -4,9 +4,9 @@ Base spans are e-mail addresses, IPv4 addresses, payment cards and phone numbers
 protected entities of a mention are its value, its group (an address's domain, an IPv4
 network of 24 bits, a card's or phone's first digits), its kind, and personal data as such.
 One event space holds for all counts: the corpus's distinct texts, of which n(e) mention
-entity e, n(t) hold the word t outside base spans, and n(e,t) hold both: for kinds and
-personal data as such anywhere, for values and groups within SIDE words of a mention and
-before the next one, so that pairs grow with the text. With N texts, t discloses the share
+entity e, n(t) hold the word t outside base spans, and n(e,t) hold both, anywhere in the
+text. Entities of fewer than SUPPORT texts can't reach SUPPORT with any word, so their pairs
+aren't made. With N texts, t discloses the share
 PMI(e;t) / IC(e) of e's information, where IC(e) = log2(N / n(e)) and
 PMI(e;t) = log2(n(e,t) N / (n(e) n(t))). A word gives e away if that share reaches DISCLOSURE,
 SUPPORT texts or more hold both, and the corpus is large enough to tell: with
@@ -42,9 +42,8 @@ PATTERNS = {
 #: A cheap test that a text may hold a match at all.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-#: Words of letters; a mention's context has SIDE of them on either side.
+#: Words of letters.
 TERM = r"\p{L}{3,}+"
-SIDE = 3
 DISCLOSURE, SUPPORT = 0.8, 3
 #: Rows of further copies that are broadcast to be left out of the counts, 8 bytes each; more of them are joined by shuffle.
 COPIES = 1_000_000
@@ -119,13 +118,13 @@ def group_of(span: Column) -> Column:
 
 
 def narrow(span: Column) -> list[Column]:
-    """The entities of a mention whose terms are looked for next to it."""
+    """The entities of a mention of its own: its value and its group."""
     kind = span["kind"].cast("string")
     return [F.concat(F.lit("v"), kind, F.lit(":"), value_of(span)), F.concat(F.lit("g"), kind, F.lit(":"), group_of(span))]
 
 
 def wide(base: Column) -> Column:
-    """The entities of a text whose terms are looked for in all of it: its kinds, and personal data as such."""
+    """The entities that a text's mentions share: its kinds, and personal data as such."""
     kinds = F.array_distinct(F.transform(base, lambda s: F.concat(F.lit("k"), s["kind"].cast("string"))))
     return F.when(F.size(base) > 0, F.concat(kinds, F.array(F.lit("a")))).otherwise(F.array().cast("array<string>"))
 
@@ -169,23 +168,16 @@ def vocabulary(text: Column, base: Column) -> Column:
     return F.array_distinct(F.flatten(words_by_gap(text, base)))
 
 
-#: Between an entity and a word; no word holds it.
-APART = "\t"
+def own_entities(base: Column) -> Column:
+    """Distinct values and groups that a text mentions."""
+    return F.array_distinct(F.flatten(F.transform(base, lambda s: F.array(*narrow(s)))))
 
 
-def pairs_of(text: Column, base: Column) -> Column:
-    """Distinct strings entity-APART-word that a text with mentions counts for."""
-    joined = lambda entities, words: F.flatten(F.transform(entities, lambda e: F.transform(words, lambda t: F.concat(e, F.lit(APART), t))))
-
-    def beside(words: Column) -> Column:
-        def near(span: Column, i: Column) -> Column:
-            before, after = F.get(words, i), F.get(words, i + 1)
-            some = F.concat(F.slice(before, F.greatest(F.size(before) - SIDE + 1, F.lit(1)), SIDE), F.slice(after, 1, SIDE))
-            return joined(F.array(*narrow(span)), some)
-
-        return F.flatten(F.transform(base, near))
-
-    return let(words_by_gap(text, base), lambda w: F.array_distinct(F.concat(joined(wide(base), F.array_distinct(F.flatten(w))), beside(w))))
+def met_by(texts: DataFrame, entities: DataFrame, column: str) -> DataFrame:
+    """(id, entity, column) of those of texts' (id, entity) that entities has; each entity's texts are dealt to SALTS parts."""
+    asked = texts.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    salted = entities.select("entity", column).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return asked.join(salted, ["entity", "salt"]).select("id", "entity", column)
 
 
 def firsts(rows: DataFrame) -> DataFrame:
@@ -199,16 +191,21 @@ def disclosing(found: DataFrame) -> DataFrame:
     """(entity, terms): the words that give each entity away; found has id, hash, text and base, one row of each text."""
     texts = found.count()
     told = found.where(F.size("base") > 0)
-    every = lambda b: F.array_distinct(F.concat(wide(b), F.flatten(F.transform(b, lambda s: F.array(*narrow(s))))))
-    entities = told.select(F.explode(every(F.col("base"))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT)
-    pairs = told.select(F.explode(pairs_of(F.col("text"), F.col("base"))).alias("pair")).groupBy("pair").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= SUPPORT)
-    pairs = stored(pairs.select(F.expr(f"substr(pair, 1, length(pair) - length(substring_index(pair, '{APART}', -1)) - 1)").alias("entity"), F.substring_index("pair", APART, -1).alias("term"), "n_et"), "pii-pairs")
+    counts = lambda of: told.select(F.explode(of).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT)
+    shared, own = counts(wide(F.col("base"))), counts(own_entities(F.col("base")))
+    mentioned = told.select("id", F.explode(own_entities(F.col("base"))).alias("entity"))
+    listed = met_by(mentioned, own, "n_e").groupBy("id").agg(F.collect_list(F.struct("entity", "n_e")).alias("entities"))
+    words_in = told.select("id", wide(F.col("base")).alias("wide"), vocabulary(F.col("text"), F.col("base")).alias("words"))
+    # one pair a row, so that a text of many entities and words needs no room for all of its pairs
+    few = words_in.select(F.explode("wide").alias("entity"), "words").select("entity", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et"))
+    each = words_in.drop("wide").join(listed, "id").select(F.explode("entities").alias("e"), "words").select("e.entity", "e.n_e", F.explode("words").alias("term"))
+    many = each.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.max("n_e").alias("n_e"))
+    # the few shared entities hold many pairs each: their counts, five rows at most, go to where the pairs lie
+    pairs = few.join(F.broadcast(shared), "entity").select("entity", "term", "n_et", "n_e").unionByName(many.select("entity", "term", "n_et", "n_e"))
+    pairs = stored(pairs.where(F.col("n_et") >= SUPPORT), "pii-pairs")
     words = found.select(F.explode(vocabulary(F.col("text"), F.col("base"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= SUPPORT)
     looked_at = max(pairs.count(), 1)
-    # the few wide entities hold many pairs each: their counts, five rows at most, go to where the pairs lie
-    few = F.substring("entity", 1, 1).isin("k", "a")
-    counted = pairs.where(few).join(F.broadcast(entities.where(few)), "entity").unionByName(pairs.where(~few).join(entities.where(~few), "entity"))
-    joined = counted.join(words, "term")
+    joined = pairs.join(words, "term")
     p, q = F.col("n_et") / F.col("n_t"), F.col("n_e") / F.lit(float(max(texts, 1)))
     share = 1 - F.ln(p) / F.ln(q)  # PMI / IC
     certain = F.col("n_t") * (p * F.ln(p / q) + F.when(p < 1, (1 - p) * F.ln((1 - p) / (1 - q))).otherwise(0.0))
@@ -224,11 +221,9 @@ def find(docs: DataFrame) -> DataFrame:
     found = stored(docs.select(row.alias("row"), base_spans(text).alias("base"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("id")), "pii")
     of = F.coalesce(F.col("row.text"), F.lit(""))
     terms = disclosing(firsts(found.select("id", "hash", of.alias("text"), "base")))
-    every = F.array_distinct(F.concat(wide(F.col("base")), F.flatten(F.transform("base", lambda s: F.array(*narrow(s))))))
     told = found.where(F.size("base") > 0)
-    asked = told.select("id", F.explode(every).alias("entity"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
-    salted = terms.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    given = asked.join(salted, ["entity", "salt"]).groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
+    asked = told.select("id", F.explode(F.concat(wide(F.col("base")), own_entities(F.col("base")))).alias("entity"))
+    given = met_by(asked, terms, "terms").groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
     met = told.join(given, "id", "left").withColumn("terms", F.array_intersect(F.coalesce("terms", F.array().cast("array<string>")), vocabulary(of, F.col("base"))))
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
     more = F.filter(spans_of(of, pattern, lambda v: F.lit(True), KINDS.index("term")), lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))

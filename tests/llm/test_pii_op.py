@@ -95,12 +95,12 @@ def disclosed(texts: list[str | None]) -> list[list[str]]:
         seen = {w for x in words for w in x}
         everywhere = {f"k{s[2]}" for s in spans} | ({"a"} if spans else set())
         entities, pairs = set(everywhere), {(e, w) for e in everywhere for w in seen}
-        for i, (_, _, k, raw) in enumerate(spans):
+        for _, _, k, raw in spans:
             value = raw.lower() if k == 0 else raw if k == 1 else number(raw)
             group = (value.rsplit("@", 1)[-1], value.rsplit(".", 1)[0], value[:6], value[:-7])[k]
             mine = {("v", k, value), ("g", k, group)}
             entities |= mine
-            pairs |= {(e, w) for e in mine for w in words[i][-3:] + words[i + 1][:3]}
+            pairs |= {(e, w) for e in mine for w in seen}
         return spans, entities, seen, pairs
 
     found = {t: looked_at(t) for t in {t or "" for t in texts}}
@@ -176,6 +176,29 @@ def test_terms_that_give_an_entity_away(spark, folder):
     assert found[900] == "" and found[100] == ""
 
 
+def test_terms_far_from_a_mention(spark, folder):
+    """A name gives an address away however many words lie between them; personal data as such is too common here to tell."""
+    filler = "the quick brown fox jumps over the lazy dog and then the dog sleeps in the sun near the old barn"
+    rows = [(i, f"Zanthrope wrote {filler} {'abc' * (i + 1)} mail kim@rare.example now", "en", "a", 1) for i in range(4)]
+    rows += [(100 + i, f"{filler} mail w{i}@h{i}.example now wrote {'abd' * (i + 1)}", "en", "a", 1) for i in range(200)]
+    rows += [(500 + i, f"{filler} wrote note mail now {'abe' * (i + 1)}", "en", "a", 1) for i in range(60)]
+    found = {r["doc_id"]: r["spans"].split(",") for r in pii.op7_pii(spark, folder(documents=(rows, DOCS))).collect()}
+    assert all("term:0:9" in found[i] for i in range(4))
+    assert not any(s.startswith("term") for i in range(200) for s in found[100 + i])
+
+
+def test_many_entities_and_words_in_one_text(spark, folder):
+    """Every pair of three long texts is counted: a name at the end belongs to the first address as to the last."""
+    mails = [f"u{i}@h{i}.example" for i in range(1500)]
+    letters = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    rows = [(i, " ".join([f"x{letters(j)} {m}" for j, m in enumerate(mails)] + [f"own{letters(i)} Zanthrope"]), "en", "a", 1) for i in range(3)]
+    rows += [(10 + i, f"nothing here {letters(i)}", "en", "a", 1) for i in range(3000)]
+    found = {r["doc_id"]: r["spans"].split(",") for r in pii.op7_pii(spark, folder(documents=(rows, DOCS))).collect()}
+    for i in range(3):
+        at = rows[i][1].index("Zanthrope")
+        assert f"term:{at}:{at + 9}" in found[i]
+
+
 @pytest.mark.parametrize("ending", ["", " of issue {i}"])
 def test_copies_do_not_hide_terms(spark, folder, ending):
     """One of three contexts comes many times, in copies of a document or as a passage of different ones."""
