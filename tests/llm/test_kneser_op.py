@@ -80,6 +80,18 @@ def test_perplexities(spark, folder):
     assert sum(got[i]["kept"] for i in range(90)) == 90
 
 
+@pytest.mark.parametrize("ids", [20, 1000])
+def test_all_trusted_documents_are_counted(spark, folder, monkeypatch, ids):
+    """The model is that of all labelled texts, whether their ids are broadcast or joined by shuffle; no number of them is enough."""
+    rows = some_rows()
+    sf_dir = folder(documents=(rows + rows[:3], DOCS), labels=([(i, 1, 0) for i in range(60)] + [(i, 1, 0) for i in range(30)] + [(None, 1, 0)], LABELS))
+    monkeypatch.setattr(kneser, "TRUSTED", 20, raising=False)
+    monkeypatch.setattr(kneser, "IDS", ids, raising=False)
+    p = model([r[1] for r in rows + rows[:3] if r[0] < 60 and remainder(r[0], 10)])
+    got = {r["doc_id"]: r["log_perplexity"] for r in kneser.op9_kneser(spark, sf_dir).collect()}
+    assert got == pytest.approx({r[0]: perplexity(p, r[1]) for r in rows}, rel=1e-9)
+
+
 def test_small_parts(spark, folder, monkeypatch):
     """Parts of a few documents: each lists its own n-grams, and the scores stay."""
     rows = some_rows()
