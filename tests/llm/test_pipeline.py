@@ -77,6 +77,18 @@ def test_stages(stages):
     assert sum(n < 1024 for n in filled.values()) <= 1 and max(filled.values()) <= 1024
 
 
+def test_names_far_from_an_address_are_removed(spark):
+    """The stage of personal data counts every word of a text, not only those beside a mention."""
+    filler = "the quick brown fox jumps over the lazy dog and then the dog sleeps in the sun near the old barn"
+    texts = [f"Zanthrope wrote {filler} {'abc' * (i + 1)} mail kim@rare.example now" for i in range(4)]
+    texts += [f"{filler} mail w{i}@h{i}.example now wrote {'abd' * (i + 1)}" for i in range(200)]
+    texts += [f"{filler} wrote note mail now {'abe' * (i + 1)}" for i in range(60)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], DOCS)
+    after = {r["doc_id"]: r["text"] for r in corpus_pipeline.sanitised(spark, docs, "").collect()}
+    assert [after[i] for i in range(4)] == [texts[i].replace("Zanthrope", "").replace("kim@rare.example", "[EMAIL]") for i in range(4)]
+    assert all(after[i] == texts[i] for i in range(204, 264))
+
+
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder(documents=(rows(), DOCS))).count() > 0
 
