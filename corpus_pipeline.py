@@ -8,18 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.llm import langid, mixing, packing, pii, simhash
-from stratalog.llm.common import dropped, ship, stored, table
+from stratalog.llm.common import bounded, dropped, ship, stored, table
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised."""
     ship(spark)
+    bounded(spark)
     return langid.keep_identified(docs)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     ship(spark)
+    bounded(spark)
     return simhash.keep_first(docs)
 
 
@@ -36,6 +38,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of token ids."""
     ship(spark)
+    bounded(spark)
     return packing.pack(docs).withColumn("ids_crc32", F.crc32("ids"))
 
 

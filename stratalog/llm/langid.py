@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_remainder, dropped, stored, table
+from .common import crc_remainder, dropped, released, stored, table
 
 #: Dimensions of 2-grams and of 3-grams.
 DIMS = (4096, 8192)
@@ -128,7 +128,7 @@ def train(docs: DataFrame) -> dict:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["bucket", "n"])
 
     df = np.zeros(SIZE + 1, np.int64)
-    for bucket, n in rows.select("text").mapInArrow(frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():
+    for bucket, n in rows.select("text").mapInArrow(released(frequencies), "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():
         df[bucket] = n
     idf = np.log((1 + df[SIZE]) / (1 + df[:SIZE])) + 0.1
 
@@ -174,7 +174,7 @@ def centroids(some: DataFrame, idf: np.ndarray) -> dict[str, np.ndarray]:
         c, _ = clustered(x, CLUSTERS)
         return pa.table({"lang": pa.array([group.column("lang")[0].as_py()] * len(c), pa.string()), "cluster": pa.array(range(len(c)), pa.int32()), "centroid": pa.array([v.tobytes() for v in c], pa.binary())})
 
-    made = some.mapInArrow(sampled, "lang string, nth int, apart boolean, x binary").groupBy("lang").applyInArrow(fit, "lang string, cluster int, centroid binary")
+    made = some.mapInArrow(released(sampled), "lang string, nth int, apart boolean, x binary").groupBy("lang").applyInArrow(fit, "lang string, cluster int, centroid binary")
     found: dict[str, list[np.ndarray]] = {}
     for lang, _, c in sorted(map(tuple, made.collect()), key=lambda row: row[:2]):  # CLUSTERS rows a language
         found.setdefault(lang, []).append(np.frombuffer(c, np.float32))
@@ -195,7 +195,7 @@ def limited(some: DataFrame, idf: np.ndarray, found: dict[str, np.ndarray]) -> d
                 near = (x @ held.value[lang].T).max(1)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(x)), pa.array(length, pa.int32()), pa.array(near, pa.float64())], names=["lang", "length", "near"])
 
-    least = some.where("apart").select("lang", "text").mapInArrow(measured, "lang string, length int, near double").groupBy("lang", "length").agg(F.min("near"))
+    least = some.where("apart").select("lang", "text").mapInArrow(released(measured), "lang string, length int, near double").groupBy("lang", "length").agg(F.min("near"))
     seen = {(lang, length): near for lang, length, near in least.collect()}  # LENGTHS rows a language
     out: dict[str, list[float]] = {}
     for lang in found:
@@ -229,7 +229,7 @@ def identify(docs: DataFrame, model: dict, names: tuple[str, str, str] = ("lang_
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *cols], names=[*batch.schema.names, *names])
 
     more = [T.StructField(*x) for x in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True)]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
+    return docs.mapInArrow(released(run), T.StructType([*docs.schema.fields, *more]))
 
 
 def held_out() -> Column:

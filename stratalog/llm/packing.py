@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import released, stored, table
 
 LENGTH = 1024
 VOCABULARY = "byte_bpe_50k"
@@ -119,7 +119,7 @@ def tokenize(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 names=["part", "part_start", "doc_id", "doc_tokens", "ids"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "part int, part_start long, doc_id long, doc_tokens long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "part int, part_start long, doc_id long, doc_tokens long, ids binary")
 
 
 def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -145,7 +145,7 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY) ->
                 kinds = [pa.int64()] * 6 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    return encoded.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
+    return encoded.mapInArrow(released(run), "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

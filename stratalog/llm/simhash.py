@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, stored, table
+from .common import dropped, released, stored, table
 
 SEED = 42
 WORDS = 3
@@ -129,7 +129,7 @@ def fingerprints(docs: DataFrame, *also: Column) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), prints, *(batch.column(c) for c in more)], names=["doc_id", "print", *more])
 
     kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in more]
-    return rows.mapInArrow(run, ", ".join(["doc_id long", "print long", *kinds]))
+    return rows.mapInArrow(released(run), ", ".join(["doc_id long", "print long", *kinds]))
 
 
 def forest(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -234,8 +234,8 @@ def links(distinct: DataFrame) -> DataFrame:
         if held and (out := runs(*(np.concatenate(p) for p in zip(*held, strict=True)))):
             yield out
 
-    keyed = distinct.select("print").mapInArrow(make, "k long, print long")
-    return split(keyed).repartition("k").sortWithinPartitions("k").mapInArrow(verify, "u long, v long").distinct()
+    keyed = distinct.select("print").mapInArrow(released(make), "k long, print long")
+    return split(keyed).repartition("k").sortWithinPartitions("k").mapInArrow(released(verify), "u long, v long").distinct()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
