@@ -89,9 +89,7 @@ def sorted_files_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The structural check, on sorted files' footers."""
     rows = event_runs(spark, sf_dir).select("run_id", "key", F.lit(b"x").alias("value"))
     made = sorted_file.contents(rows, "run_id").select(F.col("run_id").cast("string").alias("path"), F.octet_length("content").cast("long").alias("size"), "content")
-    offset = F.conv(F.hex(F.expr("right(content, 8)")), 16, -10).cast("long")
-    heads = made.withColumn("index_offset", offset).withColumn("entries", F.conv(F.hex(F.expr("substring(content, cast(index_offset + 1 as int), 4)")), 16, 10).cast("long"))
-    return snapshots.summary(snapshots.structural(heads))
+    return snapshots.summary(snapshots.structural(sorted_file.heads(made)))
 
 
 @query(f"WITH {LOG}, {NEWEST} SELECT k, seq, value::BIGINT AS value FROM (SELECT k, seq, floor(value) AS value FROM newest WHERE op = 1)")

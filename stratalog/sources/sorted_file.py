@@ -103,10 +103,17 @@ def contents(rows: DataFrame, by: str) -> DataFrame:
     return rows.select(by, "key", "value").groupBy(by).applyInArrow(build, f"{by} {rows.schema[by].dataType.simpleString()}, content binary")
 
 
-def footers(spark: SparkSession, path: str, pattern: str = "*.sst") -> DataFrame:
-    """(path, size, index_offset, entries) from each file's last bytes and its index's head."""
-    raw = files(spark, path, pattern).select("path", F.col("length").alias("size"), "content")
-    offset = F.when(F.col("size") >= 8, F.conv(F.hex(F.expr("right(content, 8)")), 16, -10).cast("long"))
-    some = raw.withColumn("index_offset", offset)
+def heads(made: DataFrame) -> DataFrame:
+    """(path, size, index_offset, entries) of (path, size, content), from each file's last bytes and its index's head.
+
+    Bytes are cut by `substring`; Spark's `right` would take the file for text and count characters.
+    """
+    offset = F.when(F.col("size") >= 8, F.conv(F.hex(F.substring("content", -8, 8)), 16, -10).cast("long"))
+    some = made.withColumn("index_offset", offset)
     count = F.when(F.col("index_offset").between(0, F.col("size") - 12), F.conv(F.hex(F.expr("substring(content, cast(index_offset + 1 as int), 4)")), 16, 10).cast("long"))
     return some.select("path", "size", "index_offset", count.alias("entries"))
+
+
+def footers(spark: SparkSession, path: str, pattern: str = "*.sst") -> DataFrame:
+    """(path, size, index_offset, entries) of a folder's files."""
+    return heads(files(spark, path, pattern).select("path", F.col("length").alias("size"), "content"))

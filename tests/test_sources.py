@@ -55,6 +55,17 @@ def test_sorted_file_round_trip(spark, tmp_path):
     assert set(heads) == {0, 4}
 
 
+def test_footers_are_bytes_not_text(spark, tmp_path):
+    """Offsets that hold bytes above 0x7f, of files beside each other in size."""
+    expected = {}
+    for n in range(1000, 1064):
+        raw = sorted_file.dump([(f"{i:04d}".encode(), b"x" * (n - 999 if i == 0 else 1)) for i in range(1000)])
+        (tmp_path / f"{n}.sst").write_bytes(raw)
+        expected[n] = (len(raw), struct.unpack(">q", raw[-8:])[0], 1000)
+    rows = sorted_file.footers(spark, str(tmp_path)).withColumn("n", F.regexp_extract("path", r"(\d+)\.sst", 1).cast("int"))
+    assert {r["n"]: (r["size"], r["index_offset"], r["entries"]) for r in rows.collect()} == expected
+
+
 @pytest.mark.parametrize("raw", [b"", b"1234567", b"\x7f" * 40, sorted_file.dump([(b"a", b"b")])[:-9] + b"\x00" * 8])
 def test_malformed_sorted_files(spark, tmp_path, raw):
     with pytest.raises(ValueError):
