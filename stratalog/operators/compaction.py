@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import FILE_COST, LEVELS, PUT, Settings, thresholds
@@ -23,6 +23,20 @@ def overlapping(manifest: DataFrame, low: Column, high: Column) -> DataFrame:
     return manifest.where(F.coalesce((F.col("max_key") >= low) & (F.col("min_key") <= high), F.lit(True)))
 
 
+def stretches(side: DataFrame, edges: DataFrame) -> DataFrame:
+    """The runs with the first and the last stretch between `edges`, one row of sorted keys, that they touch; a missing bound touches all that lie its way."""
+    place = lambda key: F.size(F.filter("edges", lambda e: e <= F.col(key)))
+    low = F.when(F.col("min_key").isNull(), 0).otherwise(place("min_key"))
+    high = F.when(F.col("max_key").isNull(), F.size("edges")).otherwise(place("max_key"))
+    return side.crossJoin(F.broadcast(edges)).withColumn("low", low).withColumn("high", F.greatest("low", high)).drop("edges")
+
+
+def edges_of(runs: DataFrame, cuts: int) -> DataFrame:
+    """Some of the smallest keys, chosen by hash, as one row of a sorted array."""
+    some = runs.select("min_key").where("min_key IS NOT NULL").distinct().orderBy(F.xxhash64("min_key")).limit(cuts)
+    return some.agg(F.sort_array(F.collect_list("min_key")).alias("edges"))
+
+
 def overlap_pairs(left: DataFrame, right: DataFrame, cuts: int = 256) -> DataFrame:
     """Pairs (left_run, right_run) of overlapping ranges; a missing bound matches.
 
@@ -46,6 +60,28 @@ def overlap_pairs(left: DataFrame, right: DataFrame, cuts: int = 256) -> DataFra
     return met.where(meets).select("left_run", "right_run")
 
 
+def overlap_counts(runs: DataFrame, cuts: int = 256) -> DataFrame:
+    """(run_id, overlaps): of each run, how many others its range meets; a missing bound matches. Pairs are not made.
+
+    Of all runs, those that begin at or before a run's end meet it, but for those that end
+    before it begins. Both are counted by the place of keys in order: running sums within
+    stretches of the key space, and the sums of the stretches before.
+    """
+    edges = edges_of(runs, cuts)
+    sides = stretches(runs.select("run_id", "min_key", "max_key"), edges)
+    # where keys are the same, begins come first; a missing bound lies before or after all keys
+    end = lambda n, key, rank: F.struct(F.lit(n).alias("end"), (F.col(key).isNull().cast("int") * rank).alias("beyond"), F.col(key).alias("key"), F.col("low" if n == 0 else "high").alias("stretch"))
+    ends = sides.select("run_id", F.inline(F.array(end(0, "min_key", -1), end(1, "max_key", 1))))
+    sums = lambda w=None: [(s.over(w) if w is not None else s).alias(name) for name, s in (("begun", F.sum(1 - F.col("end"))), ("over", F.sum("end")))]
+    within = ends.select("run_id", "end", "stretch", *sums(Window.partitionBy("stretch").orderBy("beyond", "key", "end").rowsBetween(Window.unboundedPreceding, 0)))
+    whole = ends.groupBy("stretch").agg(*sums())  # a row a stretch
+    before = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = whole.select("stretch", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("begun", "over")))
+    placed = within.join(F.broadcast(earlier), "stretch")
+    met = F.when(F.col("end") == 1, F.col("begun") + F.col("begun_before")).otherwise(-F.col("over") - F.col("over_before"))
+    return placed.groupBy("run_id").agg((F.sum(met) - 1).alias("overlaps"))
+
+
 def merge(runs: DataFrame, bottom: bool = False) -> DataFrame:
     """One entry a key, the newest. Tombstones stay unless nothing older can lie below."""
     kept = latest(runs)

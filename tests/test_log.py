@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,6 +154,18 @@ def test_overlaps_with_missing_bounds(spark):
         assert "Join [stretch" in pairs._jdf.queryExecution().executedPlan().toString()
 
 
+def test_overlaps_are_counted_without_pairs(spark):
+    """As many as there are pairs, of ranges that share bounds or miss some."""
+    some = random.Random(7)
+    rows = [(n, *sorted((some.randrange(60), some.randrange(60)))) for n in range(80)]
+    rows += [(100, None, 4), (101, 4, None), (102, None, None), (103, 61, 62), (104, -5, -5)]
+    meets = lambda a, b: (a[2] is None or b[1] is None or a[2] >= b[1]) and (a[1] is None or b[2] is None or a[1] <= b[2])
+    expected = {a[0]: sum(a != b and meets(a, b) for b in rows) for a in rows}
+    ranges = spark.createDataFrame(rows, "run_id long, min_key int, max_key int")
+    for cuts in (1, 3, 64):
+        assert {r["run_id"]: r["overlaps"] for r in compaction.overlap_counts(ranges, cuts).collect()} == expected
+
+
 def test_structural_check(spark):
     files = spark.createDataFrame([("good", 100, 50, 3), ("short", 4, None, None), ("beyond", 100, 95, 3), ("many", 100, 50, 10_000_001)], "path string, size long, index_offset long, entries long")
     assert {r["path"]: r["intact"] for r in snapshots.structural(files).collect()} == {"good": True, "short": False, "beyond": False, "many": False}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 import pytest
 
@@ -22,6 +23,12 @@ def test_every_run_has_its_overlaps(spark):
     assert {r["run_id"]: r["overlaps"] for r in QUERIES["overlap_counts"](spark, DATA).collect()} == expected
 
 
+def test_overlaps_are_counted_without_a_join_of_ranges(spark):
+    """A row a pair would be as many as the square of the runs."""
+    plan = QUERIES["overlap_counts"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Join .*(>=|<=)", plan)
+
+
 def test_every_customer_is_looked_up(spark):
     asked = [str(r[0]) for r in spark.read.parquet(f"{DATA}/customer.parquet").select("c_custkey").collect()]
     assert sorted(r["k"] for r in QUERIES["multi_get"](spark, DATA).collect()) == sorted(asked)
