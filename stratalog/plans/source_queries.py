@@ -129,13 +129,14 @@ SELECT 3::BIGINT AS total_files, sum(8 + length(k) + CASE WHEN op = 1 THEN lengt
 (SELECT count(*) FROM (SELECT k, arg_max(op, seq) AS op FROM log GROUP BY k) WHERE op = 1) AS live FROM runs"""
 )
 def store_backup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two runs and a log copied to a snapshot, which is opened as a store of its own."""
+    """Two runs and a log copied to a snapshot, which is opened as a store of its own.
+
+    Each third is one batch, so it is one run whether it is flushed here or by the store, whose memory it may outgrow.
+    """
     store = Store(spark, shared_folder(spark))
     rows = events(spark, sf_dir).withColumn("value", utf8(F.floor("value").cast("long").cast("string")))
     for i in range(3):
-        part = rows.where(F.col("seq") % 3 == i)
-        store.put(part.where("op = 1").drop("op"))
-        store.delete(part.where("op = 2").select("seq", "key"))
+        store.apply(rows.where(F.col("seq") % 3 == i))
         if i < 2:
             store.flush()
     info = store.backup("first")

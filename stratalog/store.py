@@ -21,6 +21,7 @@ from .operators import compaction, log, runs
 MANIFEST = "level int, run_id bigint, path string, min_key binary, max_key binary, entries bigint, bytes bigint, max_seq bigint, version bigint"
 MANIFEST_COLUMNS = ("level", "run_id", "path", "min_key", "max_key", "entries", "bytes", "max_seq", "version")
 REFUSED = "a row without a key or a seq"
+UNKNOWN = "a row that is neither a put nor a delete"
 
 
 class Store:
@@ -99,8 +100,9 @@ class Store:
             rows.write.mode("overwrite").parquet(f"{self.path}/log/{name}")
         except Exception as e:
             self._remove(f"log/{name}")
-            if REFUSED in str(e):
-                raise ValueError(REFUSED) from e
+            for said in (REFUSED, UNKNOWN):
+                if said in str(e):
+                    raise ValueError(said) from e
             raise
         self.batches.append(name)
         self.number += 1
@@ -122,6 +124,11 @@ class Store:
         """Adds tombstones of (seq, key)."""
         self._append(keys.withColumn("op", F.lit(DELETE)).withColumn("value", F.lit(None).cast("binary")))
 
+    def apply(self, rows: DataFrame) -> None:
+        """Adds puts and tombstones of (seq, op, key, value) as one batch: all of it is in the log, and goes into a run, together."""
+        op = F.when(F.col("op").isin(PUT, DELETE), F.col("op")).otherwise(F.raise_error(F.lit(UNKNOWN)).cast("int"))
+        self._append(rows.select("seq", op.alias("op"), "key", F.when(F.col("op") == PUT, F.col("value")).alias("value")))
+
     # runs and manifest
 
     def version(self) -> int:

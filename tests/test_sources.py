@@ -9,9 +9,11 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from stratalog.catalog import QUERIES
 from stratalog.functions import codecs
 from stratalog.model import LOG, Settings
 from stratalog.operators import log, runs
+import stratalog.plans  # noqa: F401  (registers the queries)
 from stratalog.sources import log_file, sorted_file
 from stratalog.store import Store
 from stratalog.streaming import apply
@@ -180,6 +182,28 @@ def test_sizes_close_segments_and_flush(spark, tmp_path):
     assert len(live(store)) == 6
 
 
+def test_a_batch_of_puts_and_deletes_is_one_run(spark, tmp_path):
+    """However far it outgrows the memory."""
+    store = Store(spark, str(tmp_path / "s"), Settings(memtable_bytes=100))
+    store.put(puts(spark, 0, [(b"k0", b"old")]))
+    store.apply(spark.createDataFrame([(1, 2, b"k0", b"ignored"), *((n, 1, f"k{n}".encode(), b"x" * 50) for n in range(2, 9))], LOG))
+    assert (store.totals["flush_total"], store.totals["put_total"], store.totals["delete_total"], store.manifest().count(), store.batches) == (1, 8, 1, 1, [])
+    assert [k for k, _ in live(store)] == [f"k{n}".encode() for n in range(2, 9)]
+    assert store.manifest().first()["bytes"] == 8 * 10 + 7 * 50  # a tombstone has no value
+    for op in (3, None):
+        with pytest.raises(ValueError):
+            store.apply(spark.createDataFrame([(20, op, b"k", b"v")], "seq long, op int, key binary, value binary"))
+    assert store.batches == []
+
+
+def test_backup_of_thirds_that_outgrow_the_memory(spark, tmp_path):
+    n = 400_000
+    rows = spark.range(n).select(F.col("id").alias("event_id"), (F.col("id") % 5000).alias("user_id"), F.when(F.col("id") % 7 == 0, "error").otherwise("view").alias("event_type"), (F.col("id") % 100).cast("double").alias("value"))
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    made = QUERIES["store_backup"](spark, str(tmp_path)).first()
+    assert (made["total_files"], made["entries"], made["last_seq"]) == (3, 15_000, n - 1)
+
+
 def test_asynchronous_puts_wait_for_the_next_sync(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"), Settings(durability="ASYNC"))
     store.put(puts(spark, 0, [(b"a", b"1")]))
