@@ -128,6 +128,20 @@ def test_bloom_has_no_false_negatives(spark):
     assert membership.bloom_size(1000)[1] == 7
 
 
+def test_bloom_of_many_shards_sends_a_row_once(spark):
+    """Keys and rows are each sent once, not once a bit; repeated rows stay, null keys don't pass."""
+    held = spark.range(0, 50_000).select(F.concat(F.lit("k"), F.col("id")).alias("key"))
+    asked = spark.range(0, 250_000).select(F.concat(F.lit("k"), F.col("id")).alias("key"), (F.col("id") % 3).alias("shard"), F.lit(1).alias("word"))
+    asked = asked.unionByName(asked.where("key = 'k7'")).unionByName(spark.sql("SELECT string(NULL) AS key, 0L AS shard, 1 AS word"))
+    assert membership.shards_of(membership.bloom_size(50_000)[0])[0] > 20
+    passed = membership.might_hold(asked, "key", membership.bloom(held, "key", 50_000), 50_000)
+    assert passed._jdf.queryExecution().executedPlan().toString().count("Generate explode") == 1  # the filter's bits, none of the rows'
+    assert passed.columns == asked.columns
+    n, true, sevens, nulls = passed.agg(F.count("*"), F.count_if(F.substring("key", 2, 9).cast("long") < 50_000), F.count_if(F.col("key") == "k7"), F.count_if(F.col("key").isNull())).first()
+    assert (true, sevens, nulls) == (50_001, 2, 0)
+    assert 0.007 < (n - true) / 200_000 < 0.013
+
+
 def test_histogram(spark):
     rows = spark.createDataFrame([(v,) for v in (1.0, 5.0, 10.0, 100.0, 1000.0, 5000.0)], "v double")
     n = {r["le"]: r["n"] for r in metrics.histogram(rows, F.col("v")).collect()}
