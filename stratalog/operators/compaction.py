@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..model import FILE_COST, LEVELS, PUT, Settings, thresholds
 from .log import latest
 
+#: Runs that meet others as one row, and tasks of that join.
+BLOCK, TASKS = 1024, 257
+
 
 def due(level_sizes: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(level, files, threshold, due) of the levels present."""
@@ -40,24 +43,27 @@ def edges_of(runs: DataFrame, cuts: int) -> DataFrame:
 def overlap_pairs(left: DataFrame, right: DataFrame, cuts: int = 256) -> DataFrame:
     """Pairs (left_run, right_run) of overlapping ranges; a missing bound matches.
 
-    The key space is cut at some of the right side's smallest keys, chosen by hash. Ranges
-    meet by an equi-join on the stretches they touch, and a pair counts in the first
-    stretch that both touch, so it comes once.
+    The key space is cut at some of the right side's smallest keys. Of two ranges that
+    overlap, the one that begins in the later stretch (the right one, if both begin in the
+    same) meets the other there. So each side's runs, in blocks where they begin, meet
+    those of the other that touch that stretch, and a pair is looked at once. The number of
+    tasks is set: Spark would choose it by the size of the rows, which the pairs outgrow.
     """
-    some = right.select("min_key").where("min_key IS NOT NULL").distinct().orderBy(F.xxhash64("min_key")).limit(cuts)
-    edges = some.agg(F.sort_array(F.collect_list("min_key")).alias("edges"))
-
-    def stretched(side: DataFrame, name: str) -> DataFrame:
-        place = lambda key: F.size(F.filter("edges", lambda e: e <= F.col(key)))
-        low = F.when(F.col("min_key").isNull(), 0).otherwise(place("min_key"))
-        high = F.when(F.col("max_key").isNull(), F.size("edges")).otherwise(place("max_key"))
-        rows = side.crossJoin(F.broadcast(edges)).withColumn("low", low).withColumn("high", F.greatest(low, high))  # one row of `cuts` keys
-        return rows.select(F.col("run_id").alias(f"{name}_run"), F.col("min_key").alias(f"{name}_min"), F.col("max_key").alias(f"{name}_max"), F.col("low").alias(f"{name}_low"), F.explode(F.sequence("low", "high")).alias("stretch"))
-
-    met = stretched(left, "left").join(stretched(right, "right"), "stretch").where(F.col("stretch") == F.greatest("left_low", "right_low"))
-    yes = F.lit(True)
-    meets = F.coalesce(F.col("left_max") >= F.col("right_min"), yes) & F.coalesce(F.col("left_min") <= F.col("right_max"), yes)
-    return met.where(meets).select("left_run", "right_run")
+    edges = edges_of(right, cuts)
+    left, right = stretches(left, edges), stretches(right, edges)
+
+    def met(spread: DataFrame, first: Column, homes: DataFrame, name: str, other: str) -> DataFrame:
+        bounds = lambda side: [F.col("run_id").alias(f"{side}_run"), F.col("min_key").alias(f"{side}_min"), F.col("max_key").alias(f"{side}_max")]
+        touching = spread.where(first <= F.col("high")).select(*bounds(name), F.explode(F.sequence(first, F.col("high"))).alias("stretch"))
+        nth = F.row_number().over(Window.partitionBy("stretch").orderBy("min_key", "run_id"))
+        begun = homes.select("run_id", "min_key", "max_key", F.col("low").alias("stretch")).withColumn("block", F.floor(nth / BLOCK))
+        blocks = begun.groupBy("stretch", "block").agg(F.collect_list(F.struct(*bounds(other))).alias("runs"))
+        both = touching.repartition(TASKS, "stretch").join(blocks.repartition(TASKS, "stretch").hint("merge"), "stretch")
+        yes = F.lit(True)
+        meets = F.coalesce(F.col("left_max") >= F.col("right_min"), yes) & F.coalesce(F.col("left_min") <= F.col("right_max"), yes)
+        return both.select(f"{name}_run", f"{name}_min", f"{name}_max", F.inline("runs")).where(meets).select("left_run", "right_run")
+
+    return met(left, F.col("low"), right, "left", "right").unionByName(met(right, F.col("low") + 1, left, "right", "left"))
 
 
 def overlap_counts(runs: DataFrame, cuts: int = 256) -> DataFrame:

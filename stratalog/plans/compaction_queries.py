@@ -18,7 +18,7 @@ def compaction_due(spark: SparkSession, sf_dir: str) -> DataFrame:
 def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All runs: every fourth lies on the upper level, the others below."""
     zones = runs.zone_map(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("run_id"), "l_orderkey"), ("run_id",), "l_orderkey")
-    return compaction.overlap_pairs(zones.where("run_id % 4 = 0"), zones.where("run_id % 4 <> 0"))
+    return compaction.overlap_pairs(zones.where("run_id % 4 = 0 AND min_key IS NOT NULL"), zones.where("run_id % 4 <> 0 AND min_key IS NOT NULL"))  # in SQL a null meets nothing
 
 
 @query("WITH z AS (SELECT l_suppkey AS r, min(l_orderkey) AS a, max(l_orderkey) AS b FROM lineitem GROUP BY l_suppkey) SELECT x.r AS run_id, count(y.r) AS overlaps FROM z x LEFT JOIN z y ON x.b >= y.a AND x.a <= y.b AND x.r <> y.r GROUP BY x.r")

@@ -168,6 +168,14 @@ def test_overlaps_with_missing_bounds(spark):
         assert "Join [stretch" in pairs._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pairs_of_few_rows_are_made_by_many_tasks(spark):
+    """Runs of little data that all overlap: no task makes more than a part of the pairs."""
+    ranges = spark.range(1000).select(F.col("id").alias("run_id"), F.col("id").alias("min_key"), (5000 + F.col("id")).alias("max_key"))
+    by_task = compaction.overlap_pairs(ranges, ranges).groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in by_task) == 1_000_000
+    assert max(r["n"] for r in by_task) < 100_000
+
+
 def test_overlaps_are_counted_without_pairs(spark):
     """As many as there are pairs, of ranges that share bounds or miss some."""
     some = random.Random(7)
